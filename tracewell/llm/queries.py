@@ -21,6 +21,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.cap_filters import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.topk import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.language_id import held_out
+    from tracewell.llm.quality import learn, score
+
+    _small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, learn(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +52,42 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op9_byte_bpe)}
-ORACLE: dict[str, str] = {}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.language_id import held_out, identify, learn
+
+    _small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    judged = identify(docs.select("doc_id", "text"), learn(docs))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_cap_filters, op4_topk, op5_quality, op9_byte_bpe, op10_language_id)}
+#: Classes of equal vectors are not needed here: all pairs of a label are compared.
+_OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x,
+         coalesce(len(embedding) > 0
+                  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+                  AND len(list_filter(embedding, lambda e: e <> 0)) > 0, false) AND label IS NOT NULL AS ok
+  FROM embeddings),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.ok AND b.ok AND len(a.x) = len(b.x)
+    AND list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)) >= 0.93),
+reach AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT r.n, l.b FROM reach r JOIN link l ON l.a = r.m),
+comp AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n),
+cnt AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(cnt.n_links, 0)::BIGINT AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.n = v.vec_id LEFT JOIN cnt ON cnt.a = v.vec_id
+"""
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+ORACLE: dict[str, str] = {"op3_cap_filters": _OP3, "op4_topk": _OP4}
