@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,4 +72,23 @@ def release(*frames: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.realpath(os.getcwd()) == os.path.realpath(root):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewell_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tracewell-"), "tracewell.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "tracewell")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(path)
+    sc._tracewell_shipped = True
