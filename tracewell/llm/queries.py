@@ -43,6 +43,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.mixing import draws
+
+    taken = draws(read_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
+
+
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.private_data import spans_of
+
+    return spans_of(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_cap_filters, op4_topk, op5_quality, op9_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_cap_filters, op4_topk, op5_quality, op6_mixing, op7_private_data, op9_byte_bpe, op10_language_id)}
 #: Classes of equal vectors are not needed here: all pairs of a label are compared.
 _OP3 = """
 WITH RECURSIVE v AS (
@@ -90,4 +103,42 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
-ORACLE: dict[str, str] = {"op3_cap_filters": _OP3, "op4_topk": _OP4}
+_FILL = """,
+f{i} AS (
+  SELECT d.s, max_by(d.h, {{'a': d.size, 'b': -d.h}}) AS h, max(d.size) AS w
+  FROM d JOIN l{p} l ON l.s IS NOT DISTINCT FROM d.s
+  WHERE d.size > 0 AND d.size <= l.spare AND d.h > l.cut AND NOT list_contains(l.extra, d.h) GROUP BY d.s),
+l{i} AS (
+  SELECT l.s, l.cut, l.spare - coalesce(f.w, 0) AS spare, CASE WHEN f.h IS NULL THEN l.extra ELSE list_append(l.extra, f.h) END AS extra
+  FROM l{p} l LEFT JOIN f{i} f ON f.s IS NOT DISTINCT FROM l.s)"""
+_OP6 = (
+    """
+WITH d AS (
+  SELECT doc_id, source AS s, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+  FROM documents),
+src AS (
+  SELECT s, size, [5, 2, 1][1 + (row_number() OVER (ORDER BY s NULLS LAST) - 1) % 3] AS w
+  FROM (SELECT s, sum(size)::BIGINT AS size FROM d GROUP BY s)),
+ord AS (
+  SELECT *, 1.5::DOUBLE * sum(size) OVER () - coalesce(sum(2 * size) OVER o, 0) AS spare, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS rest
+  FROM src WINDOW o AS (ORDER BY 2.0::DOUBLE * size / w, s NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (
+  SELECT s, size, CASE WHEN spare::DOUBLE / rest * w <= 2 * size THEN w * (SELECT arg_min(spare::DOUBLE / rest, 2.0::DOUBLE * size / w) FROM ord WHERE spare::DOUBLE / rest * w <= 2 * size) ELSE 2.0 * size END::DOUBLE AS target
+  FROM ord),
+q AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(2, floor(target / size)) END::BIGINT AS passes FROM goal),
+cum AS (
+  SELECT d.s, d.h, d.size, q.target - q.passes * q.size AS quota,
+         sum(d.size) OVER (PARTITION BY d.s ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN q ON q.s IS NOT DISTINCT FROM d.s),
+l0 AS (
+  SELECT s, coalesce(max(h) FILTER (upto <= quota), -1) AS cut, any_value(quota) - coalesce(max(upto) FILTER (upto <= quota), 0) AS spare, []::BIGINT[] AS extra
+  FROM cum GROUP BY s)"""
+    + "".join(_FILL.format(i=i, p=i - 1) for i in (1, 2, 3))
+    + """
+SELECT d.doc_id, d.size, q.size AS source_size, q.target,
+       (d.size * least(2, q.passes + CASE WHEN d.h <= l3.cut OR list_contains(l3.extra, d.h) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN q ON q.s IS NOT DISTINCT FROM d.s JOIN l3 ON l3.s IS NOT DISTINCT FROM d.s
+"""
+)
+ORACLE: dict[str, str] = {"op6_mixing": _OP6, "op3_cap_filters": _OP3, "op4_topk": _OP4}
