@@ -68,6 +68,7 @@ class Codec:
         self.pieces = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.short: dict[str, list[int]] = {}
 
     def ids(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -78,7 +79,19 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces.findall(text) for i in self.ids(p)]
+        out: list[int] = []
+        known, more = self.short.get, out.extend
+        for p in self.pieces.findall(text):
+            more(known(p) or self._remember(p))
+        return out
+
+    def _remember(self, piece: str) -> list[int]:
+        ids = self.ids(piece)
+        if len(piece) <= LONG:
+            if len(self.short) >= REMEMBERED:
+                self.short.clear()
+            self.short[piece] = ids
+        return ids
 
     def piece(self, piece: str) -> tuple[int, str, bytes]:
         """Number of ids, ids as text, bytes decoded from the ids."""
@@ -110,7 +123,8 @@ def _distributed(df: DataFrame, vocabulary: str) -> str:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, n_tokens): the ids of every whole text.
+    """(doc_id, ids array<int>, n_tokens, round_trip): the ids of every whole text,
+    and whether they decode to the text's bytes.
 
     Null and empty texts have no ids. Rows that repeat are encoded each.
     """
@@ -119,10 +133,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(name, pattern)
         for b in batches:
-            ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids = [c.encode(t) for t in texts]
+            same = [c.decode(i) == t.encode() for i, t in zip(ids, texts)]
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

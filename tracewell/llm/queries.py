@@ -21,6 +21,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.url_filter import judge
+
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
 def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.llm.cap_filters import near_duplicates
 
@@ -56,6 +62,14 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_of(read_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.masked_lm import learn, score
+
+    _small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, learn(docs))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,7 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_cap_filters, op4_topk, op5_quality, op6_mixing, op7_private_data, op9_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_cap_filters, op4_topk, op5_quality, op6_mixing, op7_private_data, op8_lm_score, op9_byte_bpe, op10_language_id)}
 #: Classes of equal vectors are not needed here: all pairs of a label are compared.
 _OP3 = """
 WITH RECURSIVE v AS (
