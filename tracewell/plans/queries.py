@@ -1,6 +1,629 @@
-"""Queries over the driver tables, one for each operator."""
+"""Queries over the driver tables, one or more for each operator family, with their SQL.
+
+The tables hold no source trees, so each query projects them on the relations
+of the analysis: orders of a customer as a chain of statements, suppliers and
+customers as modules, documents as files.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewell.functions import columns as C
+from tracewell.operators import checks, edges, graph, loads, names, report, statements, styles, workflow
+from tracewell.runtime import materialize, read_table, shared_dir
+from tracewell.sources import scans
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- orders as statements: each needs the customer's next one --------------
+
+CHAIN = """
+ch AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders),
+link AS (SELECT id AS source, nxt AS target FROM ch WHERE nxt IS NOT NULL)"""
+REACH = f"""WITH RECURSIVE {CHAIN},
+reach AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT link.target FROM reach JOIN link ON link.source = reach.id)"""
+STATE = """
+ends AS (SELECT source AS id FROM link UNION SELECT target FROM link),
+state AS (
+  SELECT o.o_orderkey AS id, o.o_custkey AS file, o.o_orderpriority AS p,
+         CASE WHEN o.o_orderkey IN (SELECT id FROM reach) THEN 'reached' WHEN o.o_orderpriority = '5-LOW' THEN 'unsupported'
+              WHEN o.o_orderkey IN (SELECT id FROM ends) THEN 'unreached' ELSE 'untouched' END AS machine_state
+  FROM orders o)"""
+
+
+def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """statements(id, file, p), links, entries."""
+    o = read_table(spark, d, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = o.select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(w).alias("target")).where("target is not null")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("p"))
+    return rows, links, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+
+
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, links, entries = _chain(spark, d)
+    links = materialize(links, "chain")
+    reached = graph.closure(entries, links)
+    return graph.machine_states(rows, links, reached, readable=F.col("p") != "5-LOW"), links, entries
+
+
+@query(f"{REACH} SELECT id FROM reach")
+def reach_order_chain(spark, d):
+    _, links, entries = _chain(spark, d)
+    return graph.closure(entries, links).select("id")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem), link AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT p_partkey AS id FROM part WHERE p_size = 1 UNION SELECT link.b FROM reach JOIN link ON link.a = reach.id) SELECT id FROM reach"""
+)
+def reach_cyclic_parts(spark, d):
+    one = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (-F.col("l_suppkey")).alias("target")).distinct()
+    links = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return graph.closure(read_table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id")), links).select("id")
+
+
+@query(
+    """WITH u AS (SELECT o_orderkey AS node, o_orderpriority AS p, o_custkey AS c, o_orderdate AS t FROM orders)
+SELECT node, ancestor FROM (SELECT node, last_value(CASE WHEN p = '1-URGENT' THEN node END IGNORE NULLS) OVER (PARTITION BY c ORDER BY t, node) AS ancestor FROM u) WHERE ancestor IS NOT NULL"""
+)
+def nearest_urgent_ancestor(spark, d):
+    o = read_table(spark, d, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    parents = o.select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
+    return graph.nearest_ancestor(parents, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node")))
+
+
+@query(f"{REACH}, {STATE} SELECT id, machine_state FROM state")
+def machine_states(spark, d):
+    return _states(spark, d)[0].select("id", "machine_state")
+
+
+@query(f"{REACH}, {STATE} SELECT machine_state, count(*) AS statements FROM state GROUP BY machine_state")
+def state_counts(spark, d):
+    return graph.state_counts(_states(spark, d)[0])
+
+
+@query(
+    f"""{REACH}, {STATE}, live AS (SELECT c_custkey AS file FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT live.file, live.file IN (SELECT file FROM state WHERE machine_state = 'reached') AS walked FROM live"""
+)
+def coverage_files(spark, d):
+    states, _, entries = _states(spark, d)
+    loaded = read_table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("file"))
+    return graph.coverage(states, loaded, entries)
+
+
+def _two_kinds(spark, d) -> DataFrame:
+    _, links, _ = _chain(spark, d)
+    o = read_table(spark, d, "orders")
+    w = Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderdate", "o_orderkey")
+    uses = o.select(F.col("o_orderkey").alias("source"), F.lag("o_orderkey").over(w).alias("target")).where("target is not null")
+    return links.withColumn("kind", F.lit("LOADS")).unionByName(uses.withColumn("kind", F.lit("USES")))
+
+
+IO = f"""WITH {CHAIN}, use AS (SELECT o_orderkey AS source, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS target FROM orders),
+sent AS (SELECT source AS a, target AS b FROM link UNION SELECT target, source FROM use WHERE target IS NOT NULL),
+ids AS (SELECT a AS id FROM sent UNION SELECT b FROM sent),
+io AS (SELECT ids.id, (SELECT string_agg(a::VARCHAR, ',' ORDER BY a) FROM sent WHERE b = ids.id) AS i, (SELECT string_agg(b::VARCHAR, ',' ORDER BY b) FROM sent WHERE a = ids.id) AS o FROM ids)"""
+
+
+@query(f"{IO} SELECT id, coalesce(i, '') AS inputs, coalesce(o, '') AS outputs, o IS NOT NULL AND i IS NULL AS is_source, o IS NULL AS is_sink FROM io")
+def derive_io_columns(spark, d):
+    io = graph.io_columns(_two_kinds(spark, d))
+    return io.select("id", graph.joined_ids(F.col("inputs")).alias("inputs"), graph.joined_ids(F.col("outputs")).alias("outputs"), "is_source", "is_sink")
+
+
+@query(
+    f"""WITH {CHAIN}, a AS (SELECT source, target, 'LOADS' AS kind FROM link),
+b AS (SELECT l_orderkey AS source, l_partkey AS target, 'USES' AS kind FROM lineitem), c AS (SELECT o_orderkey AS source, o_custkey AS target, 'CALL' AS kind FROM orders)
+SELECT *, 'machine' AS origin FROM (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c)"""
+)
+def union_dedupe_links(spark, d):
+    _, links, _ = _chain(spark, d)
+    mark = lambda df, k: df.withColumns({"kind": F.lit(k), "origin": F.lit("machine")})
+    line = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    order = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    return graph.united(mark(links, "LOADS"), mark(line, "USES"), mark(order, "CALL"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def untouched_anti(spark, d):
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.col("doc_id").alias("target"))
+    return graph.unknown_ids(docs, read_table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+# --- spans and edges ---------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT user_id, ts, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events)
+SELECT e.event_id, CASE WHEN e.t - p.t <= 3600000000 THEN p.event_id END AS found FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.t >= p.t"""
+)
+def floor_span_lookup(spark, d):
+    e = read_table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    spans = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("first"), (F.col("t") + 3600000000).alias("last"), "event_id")
+    return edges.floor_join(e.select("event_id", "user_id", "t"), spans, "user_id", "t", "first", "last", "event_id").select("event_id", "found")
+
+
+MERGED = """WITH s AS (SELECT p_partkey AS id, p_size::VARCHAR AS file, p_partkey AS f, p_partkey + p_size AS l FROM part),
+e AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE l_returnflag WHEN 'R' THEN 'CALL' WHEN 'A' THEN 'REF' ELSE 'REACHING_DEF' END AS kind, CASE l_linestatus WHEN 'O' THEN 'LOCAL' ELSE 'METHOD' END AS lab,
+        CASE WHEN l_linenumber = 7 THEN '' ELSE (l_suppkey % 50 + 1)::VARCHAR END AS ff, l_partkey AS fl, (l_suppkey % 9 + 1)::VARCHAR AS tf, l_partkey + l_linenumber AS tl FROM lineitem),
+a AS (SELECT e.*, CASE WHEN s.l >= e.fl THEN s.id END AS source FROM e ASOF LEFT JOIN s ON e.ff = s.file AND e.fl >= s.f),
+b AS (SELECT a.*, CASE WHEN s.l >= a.tl THEN s.id END AS target FROM a ASOF LEFT JOIN s ON a.tf = s.file AND a.tl >= s.f),
+m AS (SELECT *, CASE WHEN ff = '' THEN 'no address' WHEN source IS NULL OR target IS NULL THEN 'outside the statements' WHEN source = target THEN 'inside one statement'
+        WHEN kind = 'REACHING_DEF' THEN 'structural' WHEN kind = 'REF' AND (lab = 'LOCAL' OR target NOT IN (SELECT p_partkey FROM part WHERE p_brand < 'Brand#3')) THEN 'reference to a local' ELSE 'between two' END AS outcome FROM b)"""
+
+
+def _merged(spark, d) -> DataFrame:
+    p = read_table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("file"), F.col("p_partkey").alias("first_line"), (F.col("p_partkey") + F.col("p_size")).alias("last_line"))
+    line = read_table(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", "CALL").when(F.col("l_returnflag") == "A", "REF").otherwise("REACHING_DEF").alias("kind"),
+        F.when(F.col("l_linenumber") == 7, "").otherwise((F.col("l_suppkey") % 50 + 1).cast("string")).alias("from_file"),
+        F.col("l_partkey").alias("from_line"),
+        (F.col("l_suppkey") % 9 + 1).cast("string").alias("to_file"),
+        (F.col("l_partkey") + F.col("l_linenumber")).alias("to_line"),
+        F.when(F.col("l_linestatus") == "O", "LOCAL").otherwise("METHOD").alias("to_label"),
+    )
+    return edges.merge(line, rows, p.where("p_brand < 'Brand#3'").select(F.col("p_partkey").alias("id")))
+
+
+@query(f"{MERGED} SELECT kind, outcome, count(*) AS edges FROM m GROUP BY kind, outcome")
+def edge_merge_counters(spark, d):
+    return edges.counters(_merged(spark, d))
+
+
+@query(
+    f"""{MERGED} SELECT kind, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o.replace(' ', '_')}" for o in ("no address", "outside the statements", "inside one statement", "structural", "reference to a local", "between two"))} FROM m GROUP BY kind"""
+)
+def edge_kind_table(spark, d):
+    return edges.kind_table(_merged(spark, d))
+
+
+@query(f"{MERGED} SELECT DISTINCT source, target, kind FROM m WHERE outcome = 'between two'")
+def edge_links(spark, d):
+    return edges.links_of(_merged(spark, d))
+
+
+@query("SELECT DISTINCT source, target FROM (" + MERGED + " SELECT * FROM m WHERE outcome = 'between two' AND kind = 'REF')")
+def ref_landing(spark, d):
+    return edges.links_of(_merged(spark, d)).where("kind = 'REF'").select("source", "target")
+
+
+@query(
+    """SELECT l_shipdate::DATE::VARCHAR[1:4] AS graph, 'pre/' || l_suppkey || '.py' AS from_file, count(*) AS edges, sum(l_partkey)::BIGINT AS lines FROM lineitem GROUP BY ALL"""
+)
+def edge_export_parse(spark, d):
+    line = read_table(spark, d, "lineitem")
+    raw = line.select(F.concat_ws("\t", F.lit("CALL"), F.concat("l_suppkey", F.lit(".py")), "l_partkey", F.lit("x\\y.py"), F.lit("")).alias("value"), F.date_format("l_shipdate", "yyyy").alias("graph"))
+    prefixes = raw.select(F.col("graph").alias("name"), F.lit("pre/").alias("target")).distinct()
+    rows, _ = scans.edge_rows(raw, prefixes)
+    return rows.groupBy("graph", "from_file").agg(F.count("*").alias("edges"), F.sum(F.col("from_line").cast("long")).alias("lines"))
+
+
+# --- modules and paths --------------------------------------------------------
+
+HOST = r"regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT {HOST} AS h FROM pages), p AS (SELECT h, string_split(h, '.') AS p FROM h),
+m AS (SELECT h, array_to_string(p[i:], '.') AS module FROM (SELECT h, p, unnest(range(1, len(p) + 1)) AS i FROM p))
+SELECT module, count(*) AS n, min(replace(h, '.', '/') || '.py') AS target FROM m GROUP BY module"""
+)
+def module_suffix_resolve(spark, d):
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return loads.module_index(read_table(spark, d, "pages").select(F.concat(F.translate(host, ".", "/"), F.lit(".py")).alias("file")).distinct())
+
+
+PATH = r"regexp_extract(url, '://[^/]*/([a-z]+/[0-9]+)', 1)"
+
+
+def _linked(spark, d) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"://[^/]*/([a-z]+/[0-9]+)", 1).alias("p"))
+
+
+@query(
+    f"""WITH f AS (SELECT lang || '/' || doc_id || '.css' AS file FROM documents WHERE n_chars > 1000), p AS (SELECT page_id, 'site/' || {PATH} || '.css' AS x, {PATH} || '.css' AS t FROM pages)
+SELECT page_id, CASE WHEN f.file IS NULL THEN 'outside' ELSE 'resolved' END AS verdict, f.file AS target FROM p LEFT JOIN f ON f.file = p.t"""
+)
+def path_resolve(spark, d):
+    docs = read_table(spark, d, "documents").where("n_chars > 1000").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".css")).alias("file"))
+    asked = _linked(spark, d).select("page_id", F.lit("site/main.css").alias("file"), F.concat(F.lit(".././"), "p", F.lit(".css")).alias("written"))
+    return loads.resolved(asked, docs).select("page_id", "verdict", "target")
+
+
+@query(
+    f"""WITH f AS (SELECT lang || '/' || doc_id || CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.jsx' WHEN 'de' THEN '/index.ts' ELSE '.css' END AS file FROM documents
+  UNION SELECT lang || '/' || doc_id || '.js' FROM documents WHERE n_chars > 2000),
+p AS (SELECT page_id, {PATH} AS p FROM pages),
+c AS (SELECT page_id, p || s AS c, k FROM p, (VALUES ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('.mjs', 5), ('.cjs', 6), ('.css', 7), ('/index.ts', 8), ('/index.tsx', 9), ('/index.js', 10), ('/index.jsx', 11)) v(s, k))
+SELECT page_id, arg_min(c, k) AS target FROM c JOIN f ON f.file = c.c GROUP BY page_id"""
+)
+def candidate_first_match(spark, d):
+    docs = read_table(spark, d, "documents")
+    base = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
+    ext = F.when(F.col("lang") == "en", ".ts").when(F.col("lang") == "fr", ".jsx").when(F.col("lang") == "de", "/index.ts").otherwise(".css")
+    files = docs.select(F.concat(base, ext).alias("file")).unionByName(docs.where("n_chars > 2000").select(F.concat(base, F.lit(".js")).alias("file"))).distinct()
+    asked = _linked(spark, d).select("page_id", F.lit("main.ts").alias("file"), F.concat(F.lit("./"), "p").alias("written"))
+    hits = loads.resolved(asked, files).where("verdict = 'resolved'")
+    return hits.groupBy("page_id").agg(F.min_by("target", "priority").alias("target"))
+
+
+@query(f"SELECT left({HOST}, 40) AS head, count(*) AS imports FROM pages GROUP BY 1 ORDER BY imports DESC, head LIMIT 10")
+def unresolved_top10(spark, d):
+    asked = read_table(spark, d, "pages").select("page_id", F.lit("a.py").alias("file"), F.regexp_replace("url", "^[a-z]+://", "").alias("written"))
+    none = read_table(spark, d, "region").select(F.lit("a.py").alias("file"))
+    return loads.unresolved_heads(loads.resolved(asked, none.distinct()))
+
+
+@query(
+    """WITH t AS (SELECT c_custkey AS id, lower(c_mktsegment) || '.n' || c_nationkey AS m FROM customer)
+SELECT id, unnest([m, m || '.a', m || '.b' || id]) AS written FROM t"""
+)
+def written_imports(spark, d):
+    m = F.concat(F.lower("c_mktsegment"), F.lit(".n"), "c_nationkey")
+    text = F.concat(F.lit("from "), m, F.lit(" import a as x, b"), "c_custkey", F.lit("  # tail, c"))
+    rows = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("m.py").alias("file"), text.alias("text"))
+    return loads.written_imports(rows).where("not endswith(written, '.x')").select("id", "written")
+
+
+# --- suppliers as modules that customers import from -----------------------------
+
+SHOP = """WITH defs AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier), act AS (SELECT 1000000000 + n_nationkey AS id, n_nationkey AS n FROM nation),
+imp AS (SELECT 2000000000 + c_custkey AS id, c_custkey AS c, c_nationkey AS n FROM customer), usr AS (SELECT 3000000000 + c_custkey AS id, c_custkey AS c, c_nationkey AS n FROM customer)"""
+
+
+def _shop(spark, d) -> DataFrame:
+    """Per nation a script with an exported function per supplier and one call; per customer one that imports and calls its nation's."""
+    s, n, c = (read_table(spark, d, t) for t in ("supplier", "nation", "customer"))
+    file = lambda k: F.concat(F.lit("lib/n"), k, F.lit(".ts"))
+    own = F.concat(F.lit("shop/c"), "c_custkey", F.lit(".ts"))
+    names_ = c.join(s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("s"), "s_suppkey"))), ", ").alias("all")), "c_nationkey", "left")
+    big = lambda base, k: (F.lit(base).cast("long") + F.col(k)).alias("id")
+    defs = s.select(F.col("s_suppkey").cast("long").alias("id"), file("s_nationkey").alias("file"), F.concat(F.lit("export function s"), "s_suppkey", F.lit("() { return 1; }")).alias("text"))
+    act = n.select(big(1000000000, "n_nationkey"), file("n_nationkey").alias("file"), F.lit("register();").alias("text"))
+    imp = names_.select(big(2000000000, "c_custkey"), own.alias("file"), F.concat(F.lit("import { "), F.coalesce("all", F.lit("none")), F.lit(' } from "../lib/n'), "c_nationkey", F.lit('";')).alias("text"))
+    usr = names_.select(big(3000000000, "c_custkey"), own.alias("file"), F.concat(F.lit("run("), F.coalesce("all", F.lit("nothing")), F.lit(");")).alias("text"))
+    return defs.unionByName(act).unionByName(imp).unionByName(usr)
+
+
+@query(
+    f"""{SHOP} SELECT DISTINCT source, target, 'USES' AS kind FROM (
+  SELECT usr.id AS source, imp.id AS target FROM usr JOIN imp USING (c) WHERE usr.n IN (SELECT n FROM defs)
+  UNION ALL SELECT usr.id, defs.id FROM usr JOIN defs USING (n))"""
+)
+def name_use_links(spark, d):
+    rows = _shop(spark, d)
+    return names.Names(rows).use_links(rows.where("false").select("id"), settings=None)
+
+
+@query(
+    f"""{SHOP} SELECT source, target, 'LOADS' AS kind FROM (
+  SELECT imp.id AS source, act.id AS target FROM imp JOIN act USING (n)
+  UNION SELECT usr.id, imp.id FROM usr JOIN imp USING (c))"""
+)
+def load_links(spark, d):
+    rows = _shop(spark, d)
+    none = spark.createDataFrame([], "statement_id long, ordinal int, selector string, line int")
+    return loads.load_graph(rows, rows.where("id >= 3000000000").select("id"), none)["links"]
+
+
+@query(f"{SHOP} SELECT DISTINCT 'lib/n' || n || '.ts' AS file FROM imp")
+def loaded_files(spark, d):
+    rows = _shop(spark, d)
+    none = spark.createDataFrame([], "statement_id long, ordinal int, selector string, line int")
+    return loads.load_graph(rows, rows.where("false").select("id"), none)["loaded"]
+
+
+@query(
+    """SELECT s_suppkey AS id, 's' || s_suppkey AS name, true AS exported FROM supplier
+UNION ALL SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'f' || p_partkey WHEN 1 THEN 'K' || p_partkey WHEN 2 THEN 'x' || p_partkey ELSE 'T' || p_partkey END, p_size % 4 <> 3 FROM part"""
+)
+def defined_names(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size") % 4
+    text = (
+        F.when(size == 0, F.concat(F.lit("@wrap(1)\nasync def f"), k, F.lit("(a): return a")))
+        .when(size == 1, F.concat(F.lit("class K"), k, F.lit(": pass")))
+        .when(size == 2, F.concat(F.lit("x"), k, F.lit(": int = 4")))
+        .otherwise(F.concat(F.lit("/* c */ type T"), k, F.lit(" = {}")))
+    )
+    parts = read_table(spark, d, "part").select(k.alias("id"), F.when(size == 3, "a.ts").otherwise("a.py").alias("file"), text.alias("text"))
+    return names.definitions(_shop(spark, d).where("id < 1000000000").unionByName(parts)).select("id", "name", "exported")
+
+
+@query("SELECT p_partkey AS id, p_size % 5 IN (0, 3) AS acts FROM part")
+def side_effects(spark, d):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size") % 5
+    text = F.when(size == 0, F.concat(F.lit("main("), k, F.lit(")"))).when(size == 1, F.concat(F.lit("a"), k, F.lit(" = 1"))).when(size == 2, F.lit("def f(): pass")).when(size == 3, F.lit('import "./x"')).otherwise(F.lit("export const a = f()"))
+    rows = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(size < 3, "a.py").otherwise("a.ts").alias("file"), text.alias("text"))
+    return rows.select("id", loads.acts(F.col("file"), F.col("text")).alias("acts"))
+
+
+# --- names in texts ---------------------------------------------------------------
+
+
+@query(
+    r"""WITH n AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z0-9_-]+') AS name FROM benchmark),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+SELECT name, doc_id, line_no::INTEGER AS line_no FROM l JOIN n ON regexp_matches(line, '(^|[^A-Za-z0-9_-])' || name || '($|[^A-Za-z0-9_-])')"""
+)
+def token_exact_match(spark, d):
+    found = read_table(spark, d, "benchmark").select(F.regexp_extract("text", "[A-Za-z0-9_-]+", 0).alias("name")).distinct()
+    found = found.select(F.lit(0).cast("long").alias("id"), F.lit("animation").alias("kind"), "name", F.lit("subject").alias("role"))
+    lines = read_table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), "line")
+    return styles.matches(found, lines).select("name", F.col("file").alias("doc_id"), "line_no")
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT unnest([o_orderpriority, left(o_orderpriority, 1), 'x-' || left(o_orderpriority, 1) || '-y']) AS name FROM orders),
+l AS (SELECT o_orderkey AS k, o_orderpriority AS line FROM orders UNION ALL SELECT o_orderkey, 'a x-' || left(o_orderpriority, 1) || '-${b}' FROM orders)
+SELECT k, name, CASE WHEN line = name THEN 'exact' WHEN line LIKE name || '-%' THEN 'prefix' ELSE 'stem' END AS mode FROM l JOIN n
+ON line = name OR (length(name) = 1 AND line LIKE name || '-%') OR (name LIKE 'x-%' AND line LIKE 'a x-' || substr(name, 3, 1) || '-$%')"""
+)
+def token_prefix_and_stem_match(spark, d):
+    p = F.col("o_orderpriority")
+    o = read_table(spark, d, "orders")
+    found = o.select(F.explode(F.array(p, F.substring(p, 1, 1), F.concat(F.lit("x-"), F.substring(p, 1, 1), F.lit("-y")))).alias("name")).distinct()
+    found = found.select(F.lit(0).cast("long").alias("id"), F.lit("class").alias("kind"), "name", F.lit("subject").alias("role"))
+    lines = o.select(F.col("o_orderkey").alias("file"), F.lit(1).alias("line_no"), p.alias("line")).unionByName(
+        o.select(F.col("o_orderkey").alias("file"), F.lit(2).alias("line_no"), F.concat(F.lit("a x-"), F.substring(p, 1, 1), F.lit("-${b}")).alias("line"))
+    )
+    return styles.matches(found, lines).select(F.col("file").alias("k"), "name", "mode")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT c_mktsegment AS seg FROM customer), n AS (SELECT seg, lead(seg, 1, (SELECT min(seg) FROM s)) OVER (ORDER BY seg) AS sub, row_number() OVER (ORDER BY seg) AS id FROM s),
+r AS (SELECT n.id, c.c_mktsegment AS searched, CASE WHEN c.c_mktsegment = n.sub THEN 'subject' ELSE 'context' END AS role, c.c_custkey AS line FROM n JOIN customer c ON c.c_mktsegment IN (n.seg, n.sub)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY role DESC, line) AS rank, count(*) OVER (PARTITION BY id) AS n FROM r)
+SELECT id::BIGINT AS statement, searched, role, 'exact' AS mode, line::BIGINT AS line FROM k WHERE rank <= 3 UNION ALL SELECT DISTINCT id, '', '', 'capped', 0 FROM k WHERE n > 3"""
+)
+def evidence_cap(spark, d):
+    c = read_table(spark, d, "customer")
+    seg = c.select(F.col("c_mktsegment").alias("seg")).distinct()
+    w = Window.orderBy("seg")  # the five segments
+    two = seg.select("seg", F.coalesce(F.lead("seg").over(w), F.min("seg").over(Window.partitionBy())).alias("sub"), F.row_number().over(w).cast("long").alias("id"))
+    sheet = two.select(F.lit("a.css").alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("."), "seg", F.lit(" ."), "sub", F.lit(" { }")).alias("line"))
+    lines = sheet.unionByName(c.select(F.lit("b.ts").alias("file"), F.col("c_custkey").alias("line_no"), F.concat(F.lit("use "), "c_mktsegment").alias("line")))
+    targets = two.select("id", F.lit("a.css").alias("file"), F.col("id").alias("first_line"), F.col("id").alias("last_line"))
+    none = spark.createDataFrame([], "statement_id long, ordinal int, selector string, line int")
+    return styles.evidence(targets, none, lines, most=3).select("statement", "searched", "role", "mode", F.col("line").cast("long").alias("line"))
+
+
+@query("WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag")
+def name_extract_counts(spark, d):
+    tags = read_table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+# --- files and texts -----------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no, md5(unnest(string_split(text, chr(10)))) AS line FROM documents"""
+)
+def split_lines(spark, d):
+    files = read_table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".css")).alias("path"), F.col("text").cast("binary").alias("content"))
+    lines = scans.snapshot_lines(files)
+    return lines.select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("doc_id"), "line_no", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents")
+def squeeze_whitespace(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", F.md5(C.squeezed_blanks(F.col("text")).cast("binary")).alias("squeezed"))
+
+
+@query("SELECT source || '/' || doc_id AS file, 'the bytes are no UTF-8' AS reason FROM documents WHERE doc_id % 10 = 0")
+def utf8_quarantine(spark, d):
+    docs = read_table(spark, d, "documents")
+    content = F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("text").cast("binary"), F.lit(bytes([0xFF])))).otherwise(F.col("text").cast("binary"))
+    files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
+    return scans.snapshot(files.select("path"), files)["quarantined"]
+
+
+@query("SELECT json_extract_string(props, '$.page') AS page, count(*) AS n FROM events GROUP BY 1")
+def json_props_scan(spark, d):
+    return read_table(spark, d, "events").groupBy(F.get_json_object("props", "$.page").alias("page")).agg(F.count("*").alias("n"))
+
+
+DRIFT = """WITH b AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS was FROM documents),
+n AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'new' || doc_id, sha256(text) FROM documents WHERE doc_id % 7 = 0)
+SELECT coalesce(b.path, n.path) AS path, CASE WHEN now IS NULL THEN 'missing' WHEN was IS NULL THEN 'extra' WHEN was = now THEN 'same' ELSE 'changed' END AS change FROM b FULL JOIN n ON b.path = n.path"""
+
+
+def _drift(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    before = docs.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("new"), "path")).otherwise(F.col("path"))
+    return before, docs.select(path.alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), "doc_id").select("path", "sha256")
+
+
+@query(DRIFT.replace("SELECT 'new' || doc_id, sha256(text)", "SELECT 'new' || doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END)"))
+def sha_drift(spark, d):
+    return checks.file_changes(*_drift(spark, d))
+
+
+@query("SELECT 'snapshot' AS rule, change || ' ' || path AS detail FROM (" + ORACLE["sha_drift"] + ") WHERE change <> 'same'")
+def snapshot_violations(spark, d):
+    return checks.snapshot_intact(*_drift(spark, d))
+
+
+@query("SELECT doc_id AS id, source || '/' || lang AS file, 1 AS first_line, n_chars::INTEGER AS last_line, md5(replace(text, chr(10), ' | ')) AS text FROM documents")
+def statement_list_scan(spark, d):
+    docs = read_table(spark, d, "documents")
+    line = F.concat_ws(" | ", "doc_id", F.concat("source", F.lit("/"), "lang"), F.concat(F.lit("1-"), "n_chars"), F.replace("text", F.lit("\n"), F.lit(" | ")))
+    rows, _ = scans.statement_list(docs.select(F.col("doc_id").alias("pos"), line.alias("line")))
+    return rows.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query(f"SELECT page_id AS pos, {PATH} AS path FROM pages")
+def source_list_scan(spark, d):
+    lines = _linked(spark, d).select(F.col("page_id").alias("pos"), F.concat(F.lit("  "), F.translate("p", "/", "\\"), F.lit(" ")).alias("line"))
+    return scans.source_list(lines)[0]
+
+
+@query("SELECT 'scope-role' AS rule, doc_id || '.txt' AS detail FROM documents WHERE lang = 'es' UNION ALL SELECT 'scope-evidence', doc_id || '.txt' FROM documents WHERE n_chars < 100")
+def scope_register_violations(spark, d):
+    docs = read_table(spark, d, "documents")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(".txt\t"), F.when(F.col("lang") == "es", "unknown").otherwise("test"), F.lit("\t"), F.when(F.col("n_chars") < 100, "").otherwise("why"))
+    return scans.scope_register(docs.select(F.col("doc_id").alias("pos"), line.alias("line")))[1]
+
+
+@query("SELECT o_orderkey AS id FROM orders")
+def entry_list_scan(spark, d):
+    lines = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("\t")).alias("line"))
+    return scans.entry_list(lines)[0].select("id")
+
+
+@query("SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS ids FROM lineitem GROUP BY l_orderkey")
+def id_list_parse(spark, d):
+    said = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "; ,").alias("s"))
+    return said.select("id", graph.joined_ids(C.id_list(F.col("s"))).alias("ids"))
+
+
+@query("SELECT regexp_extract(file, '[^/.](\\.[^./]*)$', 1) AS ext, count(*) AS statements FROM (SELECT lang || '/' || doc_id || '.' || source AS file FROM documents) GROUP BY 1")
+def statements_by_extension(spark, d):
+    return statements.by_extension(read_table(spark, d, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "source").alias("file")))
+
+
+@query(
+    """WITH f AS (SELECT source || '/' || lang AS file, count(*) AS n FROM documents GROUP BY 1)
+SELECT file, (coalesce(sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM f"""
+)
+def walk_order_offsets(spark, d):
+    return statements.file_offsets(read_table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("file")))
+
+
+# --- review ----------------------------------------------------------------------------
+
+REVIEW = """WITH s AS (SELECT d.doc_id AS id, coalesce(l.quality = 1 AND l.toxic = 0, false) AS visited, coalesce(l.quality = 0 AND l.toxic = 0, false) AS unresolved, coalesce(l.toxic = 1, false) AS reviewed,
+  CASE d.lang WHEN 'en' THEN 'untouched' WHEN 'fr' THEN 'unsupported' WHEN 'de' THEN 'unreached' ELSE 'reached' END AS machine_state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def _review(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents as statements; labels as events of the log: good ones recorded, bad ones left open, toxic ones reopened."""
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    kind = F.when(F.col("toxic") == 1, "reopen").when(F.col("quality") == 1, "record").otherwise("unsure")
+    none = F.lit(None).cast("long").alias("other")
+    acts = labels.select(F.lit(2).cast("long").alias("seq"), kind.alias("type"), F.col("doc_id").alias("id"), none, F.lit("").alias("text"))
+    state = F.when(F.col("lang") == "en", "untouched").when(F.col("lang") == "fr", "unsupported").when(F.col("lang") == "de", "unreached").otherwise("reached")
+    marks = docs.select(F.lit(1).cast("long").alias("seq"), F.lit("state").alias("type"), F.col("doc_id").alias("id"), none, state.alias("text"))
+    log = acts.unionByName(marks)
+    return workflow.flags(docs.select(F.col("doc_id").alias("id")), log), log
+
+
+@query(f"{REVIEW} SELECT id FROM s WHERE NOT visited AND NOT unresolved AND NOT reviewed AND machine_state IN ('untouched', 'unsupported')")
+def sweep_cases(spark, d):
+    return workflow.sweep_cases(_review(spark, d)[0])
+
+
+@query(f"{REVIEW} SELECT id FROM s WHERE NOT visited AND NOT reviewed AND machine_state IN ('untouched', 'unsupported')")
+def never_examined(spark, d):
+    return workflow.never_examined(_review(spark, d)[0])
+
+
+@query(f"{REVIEW} SELECT id, visited, CASE WHEN visited OR unresolved THEN 'intelligence' END AS visited_by, unresolved, reviewed, machine_state FROM s".replace("SELECT id, visited,", "SELECT id, visited OR unresolved AS visited,"))
+def review_flags(spark, d):
+    return _review(spark, d)[0].select("id", "visited", "visited_by", "unresolved", "reviewed", "machine_state")
+
+
+@query(
+    f"""{REVIEW}, x AS (SELECT *, visited OR unresolved AS v FROM s), e AS (SELECT id AS a, lead(id) OVER (ORDER BY id) AS b FROM x)
+SELECT count(*) AS statements, count(*) FILTER (v) AS visited, 0::BIGINT AS by_machine, count(*) FILTER (v) AS by_intelligence, count(*) FILTER (unresolved) AS unresolved, count(*) FILTER (reviewed) AS reviewed,
+  0::BIGINT AS resolved, count(*) FILTER (reviewed) AS reopened, 1::BIGINT AS sources, 1::BIGINT AS sinks, count(*) FILTER (NOT v) AS unvisited FROM x"""
+)
+def report_counts(spark, d):
+    states, _ = _review(spark, d)
+    ids = read_table(spark, d, "documents").select(F.col("doc_id").alias("target"))
+    links = ids.select((F.col("target") - 1).alias("source"), "target").where("source >= 0").withColumn("kind", F.lit("STATED"))
+    return workflow.report_counts(states, links)
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def event_sourced_fold(spark, d):
+    return workflow.fold(read_table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "value")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey)::INTEGER AS step, n_nationkey::BIGINT AS id FROM nation WHERE n_regionkey = (SELECT arg_min(n_regionkey, n_nationkey) FROM nation)")
+def traversal_next(spark, d):
+    rows = read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("r"))
+    first = rows.agg(F.min("id")).first()[0]
+    peers = {r["id"] for r in rows.join(rows.where(F.col("id") == first).select("r"), "r").select("id").collect()}
+    review = workflow.Review(spark, f"{shared_dir(spark)}/traversal-{uuid.uuid4().hex}", rows.select("id"), rows.where(F.col("id") == first).select("id"))
+    seen = []
+    while (n := review.next()) is not None:
+        seen.append((len(seen) + 1, n))
+        review.record(n, outputs=sorted(peers - {n}))
+    return spark.createDataFrame(seen, "step int, id long")
+
+
+@query(
+    f"""{REACH}, live AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'), seen AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')
+SELECT 'entry-unvisited' AS rule, id::VARCHAR AS detail FROM live WHERE id NOT IN (SELECT id FROM seen)
+UNION ALL SELECT 'entry-unknown', id::VARCHAR FROM live WHERE false
+UNION ALL SELECT 'graph-absent', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '2-HIGH'
+UNION ALL SELECT 'queued', l_orderkey::VARCHAR FROM lineitem WHERE l_linenumber = 7
+UNION ALL SELECT 'reading', max(o_orderkey)::VARCHAR FROM orders
+UNION ALL SELECT 'address', p_partkey::VARCHAR FROM part WHERE p_size > 40"""
+)
+def violations_all(spark, d):
+    o = read_table(spark, d, "orders")
+    states = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("visited"), F.when(F.col("o_orderpriority") == "2-HIGH", "unreached").otherwise("reached").alias("machine_state"))
+    urgent = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    demoted = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
+    lines = read_table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("id"))
+    spots = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("f").alias("file"), F.lit(1).alias("first_line"), F.col("p_size").alias("last_line"))
+    file = spark.createDataFrame([("f", 40)], "file string, lines int")
+    return checks.all_of(
+        checks.entries_walked(urgent, demoted, states),
+        checks.machine_done(states, ["fill", "walk"], ["LOADS"]),
+        checks.nothing_open(lines, lines.where("false")),
+        checks.all_read(states, 0),
+        checks.lines_inside(spots, file),
+    )
+
+
+@query(
+    f"""{REACH}, {STATE}, sent AS (SELECT source AS a, target AS b FROM link)
+SELECT s.id, s.file::VARCHAR AS file, 1 AS first_line, 3 AS last_line, 3 AS lines, coalesce((SELECT a::VARCHAR FROM sent WHERE b = s.id), '') AS inputs, coalesce((SELECT b::VARCHAR FROM sent WHERE a = s.id), '') AS outputs,
+  machine_state, false AS reviewed, CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN c.c_acctbal < 0 THEN 'changed' WHEN c.c_mktsegment = 'BUILDING' THEN 'missing' ELSE 'same' END AS live_file
+FROM state s LEFT JOIN customer c ON c.c_custkey = s.file WHERE machine_state <> 'reached'""".replace("WHEN c.c_acctbal < 0 THEN 'changed' WHEN c.c_mktsegment = 'BUILDING' THEN 'missing'", "WHEN c.c_mktsegment = 'BUILDING' THEN 'missing' WHEN c.c_acctbal < 0 THEN 'changed'")
+)
+def candidate_list(spark, d):
+    states, links, _ = _states(spark, d)
+    states = states.select("id", F.col("file").cast("string").alias("file"), F.lit(1).alias("first_line"), F.lit(3).alias("last_line"), (F.col("machine_state") == "reached").alias("visited"), "machine_state", F.lit(False).alias("reviewed"))
+    c = read_table(spark, d, "customer").withColumn("path", F.col("c_custkey").cast("string"))
+    before = c.select("path", F.lit("a").alias("sha256"))
+    live = c.where("c_mktsegment <> 'BUILDING'").select("path", F.when(F.col("c_acctbal") < 0, "b").otherwise("a").alias("sha256"))
+    return report.candidates(states, links.withColumn("kind", F.lit("LOADS")), before, live)
+
+
+@query("SELECT lang || '/' || doc_id || '.py' AS path FROM documents WHERE n_chars >= 1000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def never_seen_files(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "n_chars", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    known = docs.where("n_chars < 1000").select("path")
+    listed = docs.join(read_table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("path")
+    return report.never_seen(docs.select("path"), known, listed)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """The flagship: states of all orders from the urgent ones."""
+    return machine_states(spark, "/root/testdata/sf0.001")
