@@ -208,7 +208,7 @@ def ref_landing(spark, d):
 
 
 @query(
-    """SELECT l_shipdate::DATE::VARCHAR[1:4] AS graph, 'pre/' || l_suppkey || '.py' AS from_file, count(*) AS edges, sum(l_partkey)::BIGINT AS lines FROM lineitem GROUP BY ALL"""
+    """SELECT left(l_shipdate::DATE::VARCHAR, 4) AS graph, 'pre/' || l_suppkey || '.py' AS from_file, count(*) AS edges, sum(l_partkey)::BIGINT AS lines FROM lineitem GROUP BY ALL"""
 )
 def edge_export_parse(spark, d):
     line = read_table(spark, d, "lineitem")
@@ -373,13 +373,13 @@ def token_exact_match(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT unnest([o_orderpriority, left(o_orderpriority, 1), 'x-' || left(o_orderpriority, 1) || '-y']) AS name FROM orders),
-l AS (SELECT o_orderkey AS k, o_orderpriority AS line FROM orders UNION ALL SELECT o_orderkey, 'a x-' || left(o_orderpriority, 1) || '-${b}' FROM orders)
+    """WITH n AS (SELECT DISTINCT unnest([replace(o_orderpriority, ' ', '_'), left(o_orderpriority, 1), 'x-' || left(o_orderpriority, 1) || '-y']) AS name FROM orders),
+l AS (SELECT o_orderkey AS k, replace(o_orderpriority, ' ', '_') AS line FROM orders UNION ALL SELECT o_orderkey, 'a x-' || left(o_orderpriority, 1) || '-${b}' FROM orders)
 SELECT k, name, CASE WHEN line = name THEN 'exact' WHEN line LIKE name || '-%' THEN 'prefix' ELSE 'stem' END AS mode FROM l JOIN n
 ON line = name OR (length(name) = 1 AND line LIKE name || '-%') OR (name LIKE 'x-%' AND line LIKE 'a x-' || substr(name, 3, 1) || '-$%')"""
 )
 def token_prefix_and_stem_match(spark, d):
-    p = F.col("o_orderpriority")
+    p = F.translate("o_orderpriority", " ", "_")
     o = read_table(spark, d, "orders")
     found = o.select(F.explode(F.array(p, F.substring(p, 1, 1), F.concat(F.lit("x-"), F.substring(p, 1, 1), F.lit("-y")))).alias("name")).distinct()
     found = found.select(F.lit(0).cast("long").alias("id"), F.lit("class").alias("kind"), "name", F.lit("subject").alias("role"))
@@ -535,7 +535,7 @@ def sweep_cases(spark, d):
     return workflow.sweep_cases(_review(spark, d)[0])
 
 
-@query(f"{REVIEW} SELECT id FROM s WHERE NOT visited AND NOT reviewed AND machine_state IN ('untouched', 'unsupported')")
+@query(f"{REVIEW} SELECT id FROM s WHERE NOT (visited OR unresolved) AND NOT reviewed AND machine_state IN ('untouched', 'unsupported')")
 def never_examined(spark, d):
     return workflow.never_examined(_review(spark, d)[0])
 
