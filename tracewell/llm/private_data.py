@@ -139,18 +139,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     near = materialize(_surroundings(found), "near")
     total = docs.count()
     pairs = near.groupBy("entity", "word").agg(F.countDistinct("around").alias("around"), F.countDistinct("key").alias("both")).where(F.col("around") >= support)
-    pairs = materialize(pairs, "pairs")
+    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("own"))
+
+    def telling(n: str) -> Column:
+        gain = F.log(F.col("both") * F.lit(float(total)) / (F.col(n) * F.col("own"))) / F.log(F.lit(float(total)) / F.col("own"))
+        return (F.col("own") < total) & (gain >= disclosure)
+
+    # a term's documents near any entity are some of all its documents: who fails with these fails
+    seen = near.groupBy("word").agg(F.countDistinct("key").alias("seen"))
+    pairs = materialize(pairs.join(entities, "entity").join(seen, "word").where(telling("seen")), "pairs")
     wanted = materialize(pairs.select("word").distinct(), "wanted")
     n = wanted.count()
     out = found.select("key", "doc_id", "spans")
     if not n:
         return out
     terms = _term_documents(rows, wanted, n <= SMALL)
-    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("own"))
-    scored = pairs.join(terms, "word").join(entities, "entity")
-    gain = F.log(F.col("both") * F.lit(float(total)) / (F.col("n") * F.col("own"))) / F.log(F.lit(float(total)) / F.col("own"))
-    telling = scored.where((F.col("own") < total) & (gain >= disclosure)).select("entity", "word")
-    more = near.join(telling, ["entity", "word"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("word").alias("m")))).alias("terms"))
+    named = pairs.join(terms, "word").where(telling("n")).select("entity", "word")
+    more = near.join(named, ["entity", "word"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("word").alias("m")))).alias("terms"))
     return out.join(more, "key", "left").select("key", "doc_id", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))
 
 
