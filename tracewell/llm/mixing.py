@@ -102,7 +102,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     totals = {r["s"]: (r["n"], r["words"]) for r in rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()}
     goal = targets({s: w for s, (_, w) in totals.items()}, weights, share, cap)
     info = []
-    for s, (n, words) in totals.items():
+    for s, (n, words) in sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")):
         passes = min(cap, int(goal[s] // words)) if words else 0
         blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK)))
         info.append({"s": s, "source_size": words, "target": goal[s], "passes": passes, "blocks": blocks, "cut": -1, "extra": [], "bounds": [], "quota": goal[s] - passes * words})
