@@ -146,7 +146,7 @@ class Model:
             self.keys[n], below_of[n] = keys[order], values[order]
             self.logp[n] = values[order].astype(np.float32)
             if n > 1:
-                self.ctx[n] = np.unique(np.concatenate([parts[k].ctx[n] for k in self.languages]))
+                self.ctx[n] = np.unique(np.concatenate([np.zeros(0, np.uint64), *[parts[k].ctx[n] for k in self.languages]]))
                 self.back[n] = np.zeros((len(self.ctx[n]), len(self.languages)), np.float32)
                 for j, k in enumerate(self.languages):
                     self.back[n][np.searchsorted(self.ctx[n], parts[k].ctx[n]), j] = parts[k].back[n]
@@ -175,6 +175,8 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in nats a character, per text and language; and each text's letters."""
+        if not self.languages:
+            return np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)
         size = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
         total, chars, alpha = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         first = 0
