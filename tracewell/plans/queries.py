@@ -438,9 +438,9 @@ def utf8_quarantine(spark, d):
     return scans.snapshot(files.select("path"), files)["quarantined"]
 
 
-@query("SELECT json_extract_string(props, '$.page') AS page, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
 def json_props_scan(spark, d):
-    return read_table(spark, d, "events").groupBy(F.get_json_object("props", "$.page").alias("page")).agg(F.count("*").alias("n"))
+    return read_table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
 DRIFT = """WITH b AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS was FROM documents),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,13 @@ def tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     prefix = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), "^(file:)/+", "$1/")
     rows = raw.select(F.substring(path, F.lit(len(prefix) + 1), F.length(path)).alias("path"), *(["content"] if content else []))
-    return rows.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/"))
+    # scans leave empty files out, though the listing has them
+    listed = spark.createDataFrame([(unquote(f),) for f in raw.inputFiles()], "full string")
+    named = F.regexp_replace("full", "^(file:)/+", "$1/")
+    bare = listed.select(F.substring(named, F.lit(len(prefix) + 1), F.length(named)).alias("path")).join(rows.select("path"), "path", "left_anti")
+    if content:
+        bare = bare.withColumn("content", F.lit(b""))
+    return rows.unionByName(bare).where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/"))
 
 
 def supported(files: DataFrame) -> DataFrame:
