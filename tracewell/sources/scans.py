@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import os
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +80,36 @@ def tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     prefix = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), "^(file:)/+", "$1/")
     rows = raw.select(F.substring(path, F.lit(len(prefix) + 1), F.length(path)).alias("path"), *(["content"] if content else []))
-    # scans leave empty files out, though the listing has them
-    listed = spark.createDataFrame([(unquote(f),) for f in raw.inputFiles()], "full string")
+    # a scan leaves out empty files and names that begin with `_` or `.`, so these are read by their paths
+    listed = spark.createDataFrame([(f,) for f in _listing(spark, root)], "full string")
     named = F.regexp_replace("full", "^(file:)/+", "$1/")
-    bare = listed.select(F.substring(named, F.lit(len(prefix) + 1), F.length(named)).alias("path")).join(rows.select("path"), "path", "left_anti")
-    if content:
-        bare = bare.withColumn("content", F.lit(b""))
-    return rows.unionByName(bare).where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/"))
+    rest = listed.select("full", F.substring(named, F.lit(len(prefix) + 1), F.length(named)).alias("path")).join(rows.select("path"), "path", "left_anti")
+    rest = rest.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/"))
+    rest = rest.mapInArrow(_read_files, "path string, content binary") if content else rest.select("path")
+    return rows.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/")).unionByName(rest)
+
+
+def _listing(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below root, as the file system names them."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while files.hasNext():
+        out.append(files.next().getPath().toString())
+    return out
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = b.to_pydict()
+        for path, full in zip(rows["path"], rows["full"]):
+            if full.startswith("file:"):
+                fs, at = pa_fs.LocalFileSystem(), "/" + full.removeprefix("file:").lstrip("/")
+            else:
+                fs, at = pa_fs.FileSystem.from_uri(full)
+            with fs.open_input_stream(at) as f:
+                yield pa.record_batch([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
 
 
 def supported(files: DataFrame) -> DataFrame:
