@@ -1,6 +1,6 @@
 """The whole analysis of a source tree: snapshot, statements, links, states, review, final list.
 
-    python -m tracewell.plans.analysis run PROJECT FOLDER   (lists in FOLDER: source-files.txt, entry-points.txt, ...)
+    python -m tracewell.plans.analysis run FOLDER PROJECT   (lists in FOLDER: source-files.txt, entry-points.txt, ...)
 """
 
 from __future__ import annotations
@@ -97,26 +97,117 @@ def final_list(project: Project, review: Review, live: DataFrame, progress: int,
     return rows, report.markdown(rows, project.statements, project.errors, project.quarantined, unseen, demoted)
 
 
-def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="tracewell")
-    parser.add_argument("command", choices=["run"])
-    parser.add_argument("project")
-    parser.add_argument("folder")
-    a = parser.parse_args(argv)
-    spark = SparkSession.getActiveSession() or local_session()
-    read = lambda name: scans.text_lines(spark, f"{a.folder}/{name}")
-    project = take_snapshot(spark, a.project, read("source-files.txt"))
+TABLES = ("listed", "manifest", "missing", "quarantined", "statements", "selectors", "errors", "snapshot")
+
+
+def save(project: Project, folder: str, **more: DataFrame) -> None:
+    """Keep a project's tables, and more by name, under folder/tables; a later command loads them."""
+    for name, df in [*((n, getattr(project, n)) for n in TABLES), *more.items()]:
+        df.write.mode("errorifexists").parquet(f"{folder}/tables/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[Project, Review]:
+    """A saved project and its review, with the entry list and notes (review.md) of the folder."""
+    table = lambda n: spark.read.parquet(f"{folder}/tables/{n}")
+    project = Project(*[table(n) for n in TABLES])
+    entries, broken = scans.entry_list(scans.text_lines(spark, f"{folder}/entry-points.txt"))
+    scans.refuse(broken)
+    notes = scans.review_sections(spark, f"{folder}/review.md")
+    return project, Review(spark, folder, project.statements, entries, table("demoted"), notes)
+
+
+def _prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, broken = scans.name_map(scans.text_lines(spark, f"{folder}/machine/prefixes.txt"))
+    scans.refuse(broken)
+    return rows
+
+
+def run(spark: SparkSession, root: str, folder: str) -> None:
+    """Snapshot, split, derive, fill and walk; lists are read from the folder, exported edges from folder/machine."""
+    read = lambda name: scans.text_lines(spark, f"{folder}/{name}")
+    register = read("source-scope.tsv")
+    project = take_snapshot(spark, root, read("source-files.txt"), None if register.isEmpty() else register)
     entries, broken = scans.entry_list(read("entry-points.txt"))
     scans.refuse(broken)
-    aliases, broken = scans.name_map(read("aliases.txt"), slash=True)
+    aliases, broken = scans.name_map(read("machine/aliases.txt"), slash=True)
     scans.refuse(broken)
-    found = derive(project, entries, [(r["name"], r["target"]) for r in aliases.orderBy("pos").collect()])
-    review = Review(spark, a.folder, project.statements, entries, found["demoted"])
+    exports = None
+    if any(f.rpartition("/")[2].startswith("edges-") for f in scans._listing(spark, folder)):
+        exports, broken = scans.edge_exports(spark, f"{folder}/machine", _prefixes(spark, folder))
+        scans.refuse(broken)
+    found = derive(project, entries, [(r["name"], r["target"]) for r in aliases.orderBy("pos").collect()], exports)
+    save(project, folder, demoted=found["demoted"], links=found["links"], loaded=found["loaded"], imports=found["imports"])
+    review = Review(spark, folder, project.statements, entries, found["demoted"])
     review.fill(found["links"])
     review.walk()
-    scans.write_tsv(evidence(project, review.states()).drop("rank"), f"{a.folder}/style-candidates", ["statement", "file", "line"])
-    graph.state_counts(review.states()).show()
-    review.report().show()
+
+
+def main(argv: list[str] | None = None) -> None:
+    """One command a call; all of them keep their state in FOLDER."""
+    parser = argparse.ArgumentParser(prog="tracewell")
+    sub = parser.add_subparsers(dest="command", required=True)
+
+    def command(name: str, *more: str, flags: tuple[str, ...] = ()) -> None:
+        p = sub.add_parser(name)
+        for m in ("folder", *more):
+            p.add_argument(m)
+        for f in flags:
+            p.add_argument(f, **({"action": "store_true"} if f in ("--dry", "--unreached", "--unresolved", "--confirm") else {"default": ""}))
+
+    command("run", "project")
+    command("walk")
+    command("reset", flags=("--confirm",))
+    command("next")
+    command("record", "id", flags=("--inputs", "--outputs", "--place", "--unresolved"))
+    command("list")
+    command("sweep", flags=("--dry", "--unreached"))
+    command("resolve", "id", flags=("--inputs", "--outputs"))
+    command("reopen", "id", "how")
+    command("finish")
+    command("report")
+    command("styles", flags=("--most",))
+    command("build", "project", "progress")
+    a = parser.parse_args(argv)
+    spark = SparkSession.getActiveSession() or local_session()
+    ship(spark)
+    if a.command == "run":
+        run(spark, a.project, a.folder)
+    project, review = load(spark, a.folder)
+    ids = lambda text: sorted({int(x) for x in text.replace(";", ",").split(",") if x.strip()})
+    if a.command in ("run", "walk"):
+        if a.command == "walk":
+            review.walk()
+        graph.state_counts(review.states()).orderBy("machine_state").show()
+    elif a.command == "reset":
+        review.reset(a.confirm)
+    elif a.command == "next":
+        number = review.next()
+        print("the traversal stops" if number is None else scans.statement(project.statements, number).first().asDict())
+    elif a.command == "record":
+        print(review.record(int(a.id), ids(a.inputs), ids(a.outputs), a.place, a.unresolved))
+    elif a.command == "list":
+        review.unresolved().show(1000, truncate=100)
+    elif a.command == "sweep":
+        print(review.sweep(a.dry, a.unreached))
+    elif a.command == "resolve":
+        review.resolve(int(a.id), ids(a.inputs), ids(a.outputs))
+    elif a.command == "reopen":
+        review.reopen(int(a.id), a.how)
+    elif a.command == "finish":
+        end = review.finish()
+        rows = project.statements.join(end.pop("suspected").select("id"), "id", "left_semi")
+        scans.write_tsv(rows, f"{a.folder}/suspected", ["id"])
+        print(end)
+    elif a.command == "report":
+        review.report().show(vertical=True)
+    elif a.command == "styles":
+        rows = evidence(project, review.states(), int(a.most or 0))
+        scans.write_tsv(rows, f"{a.folder}/style-candidates", ["statement", "rank"])
+        styles.evidence_counts(rows).show()
+    elif a.command == "build":
+        rows, text = final_list(project, review, scans.tree(spark, a.project), int(a.progress))
+        scans.write_tsv(rows, f"{a.folder}/final-list", ["id"])
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.folder}/final-list.md")
 
 
 if __name__ == "__main__":
