@@ -79,9 +79,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their Python path has it already."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.realpath(os.getcwd()) == os.path.realpath(root):
-        return
     sc = spark.sparkContext
+    here = sc.master.startswith("local") and "cluster" not in sc.master and os.path.realpath(os.getcwd()) == os.path.realpath(root)
+    if here or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
     if getattr(sc, "_tracewell_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="tracewell-"), "tracewell.zip")
