@@ -36,6 +36,8 @@ CHUNK = 65536
 #: Variants that one packed block holds on average.
 BLOCK = 1_500_000
 LEAST_BLOCKS = 96
+#: Fingerprints whose variants one task emits, about.
+DEAL = 10_000
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -130,7 +132,8 @@ def _meet(table: pa.Table) -> pa.Table:
 def fingerprint_links(distinct: DataFrame, rows: int) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints within 3 bits. distinct(fp): each one once."""
     blocks = min(65535, max(LEAST_BLOCKS, rows * 561 // BLOCK))
-    packed = distinct.select("fp").mapInArrow(_emit(blocks), "block int, v binary, c binary")
+    dealt = distinct.select("fp").repartition(max(1, -(-rows // DEAL)))
+    packed = dealt.mapInArrow(_emit(blocks), "block int, v binary, c binary")
     return packed.groupBy("block").applyInArrow(_meet, "a long, b long")
 
 
