@@ -47,7 +47,14 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.
     low = F.lower(F.col(text_col).cast("string"))
     words = docs.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    top = [(r["w"], r["n"]) for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+    # classes of counts first, so that a task gives few words to the sort and not WORDS each
+    size = F.floor(F.log2("n") * 8)
+    left, least = WORDS, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+        if left <= 0:
+            break
+        left, least = left - r["words"], r["size"]
+    top = [(r["w"], r["n"]) for r in counts.where(size >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()]
     n = np.zeros(EDGE)
     n[: len(top)] = [c for _, c in top]
     if len(top) == WORDS:
