@@ -216,6 +216,21 @@ def test_masked_model(spark):
     assert got[0]["pll"] == pytest.approx(by_hand, rel=1e-4)
 
 
+def test_masked_model_fits_every_token_whatever_the_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d"], rng.integers(0, 9)))) for i in range(300)] + [(900, " ".join(["long", "text"] * 700)), (901, None)]
+    monkeypatch.setattr(masked_lm, "PIECE", 64)
+    monkeypatch.setattr(masked_lm, "COPY", 500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words, counts = masked_lm.word_counts(docs)
+    total = sum(len((t or "").split()) for _, t in rows)
+    model = masked_lm.Network(words, counts)
+    pieces = [r["ids"] for r in masked_lm.dealt(docs, model, 5).collect()]
+    assert model.train(pieces) == total == sum(len(p) // 2 - 4 for p in pieces)
+    one, many = (masked_lm.learn(docs.repartition(n)).flat() for n in (1, 40))
+    assert np.abs(one - many).max() < 1e-5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -4,13 +4,15 @@ Tokens are lower-cased words: the most frequent ones of the whole corpus, and
 BUCKETS classes of all others by hash. A network sums one embedding per place
 of the window (two words on each side), applies tanh, and predicts the token in
 two softmax steps, its group and its place in the group; biases begin at the
-corpus's log counts. It is trained in numpy by rounds of averaging: every
-partition fits a copy on all its documents, at every STRIDE-th place of each
-(the first place is drawn by the text's hash), and the copies are averaged in a
-tree of partial sums by pieces of the parameters. Scoring takes every token; a
-document's score is the sum of its tokens' conditional log probabilities.
-
-What is gathered from the corpus, word counts and the partitions' fits, grows
+corpus's log counts. It is trained in numpy by rounds of averaging: documents are
+dealt by hash to copies of about COPY tokens, every copy is fitted on every place
+of its documents in the order of their hashes, and the copies are averaged in a
+tree of partial sums by pieces of the parameters. So a round takes each token of
+the corpus once, and its steps do not depend on how the rows are partitioned.
+Scoring takes every token; a document's score is the sum of its tokens'
+conditional log probabilities.
+
+What is gathered from the corpus, word counts and the copies' fits, grows
 with the corpus; what reaches the driver is the vocabulary and one model.
 """
 
@@ -21,7 +23,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,10 @@ BUCKETS = 256
 WORDS = GROUPS * PLACES - BUCKETS
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 16
-STRIDE = 10
 RATE = 0.2
 BATCH = 8192
+#: Tokens of a copy of the network, about, and tokens of a document dealt at once.
+COPY, PIECE = 500_000, 16384
 #: Tokens scored at once.
 SLICE = 32768
 EDGE = GROUPS * PLACES
@@ -180,11 +182,12 @@ class Network:
             y[at] = np.concatenate(each)
         return y, at, of
 
-    def train(self, texts: list[str | None], rate: float = RATE) -> int:
-        y, at, of = self._laid(texts)
-        first = np.array([crc32((t or "").encode("utf-8", "replace")) % STRIDE for t in texts], np.int64)
-        keep = (at + first[of]) % STRIDE == 0
-        at = at[keep]
+    def train(self, pieces: list[bytes], rate: float = RATE) -> int:
+        """Fits every place of these pieces: tokens with two of their surroundings before and after."""
+        each = [np.frombuffer(p, np.uint16) for p in pieces]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        y = np.concatenate([np.zeros(0, np.uint16), *each]).astype(np.int64)
+        at = np.arange(int((n - 4).sum())) + np.repeat(4 * np.arange(len(each)) + 2, n - 4)
         for s in range(0, len(at), BATCH):
             part = at[s : s + BATCH]
             self.step(np.stack([y[part + j] for j in WINDOW], 1), y[part], rate)
@@ -211,26 +214,45 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "copy": pa.array([table.column("copy")[0].as_py() // FAN]), "n": pa.array([float(n.sum())]), "data": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
 
 
-def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
-    """The network of the corpus docs, all documents of which are counted and fitted."""
+def dealt(docs: DataFrame, model: Network, copies: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(copy, at, part, ids): all documents' tokens by PIECE, with two more on each side; at, part: their order."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: see GROUPS, PLACES, HIDDEN
+    t = F.col(text_col).cast("string")
+    names = [F.col(id_col)] if id_col in docs.columns else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = shared.value.tokens(text)
+                y = np.concatenate([[EDGE, EDGE], ids, [EDGE, EDGE]]).astype(np.uint16)
+                for part in range(-(-len(ids) // PIECE)):
+                    rows.append(((at + part) % copies, at, part, y[part * PIECE : (part + 1) * PIECE + 4].tobytes()))
+            copy, at, part, data = zip(*rows) if rows else ((),) * 4
+            yield pa.record_batch([pa.array(copy, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.int64()), pa.array(data, pa.binary())], names=["copy", "at", "part", "ids"])
+
+    return docs.select(F.xxhash64(*names, t).alias("at"), t.alias("t")).mapInArrow(run, "copy long, at long, part long, ids binary")
+
+
+def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1, id_col: str = "doc_id") -> Network:
+    """The network of the corpus docs: every token of all documents is counted, and fitted once a round."""
     spark = docs.sparkSession
-    model = Network(*word_counts(docs, text_col))
-    texts = docs.select(F.col(text_col).cast("string").alias("t"))
-    parts = max(1, texts.rdd.getNumPartitions())
+    words, counts = word_counts(docs, text_col)
+    model = Network(words, counts)
+    parts = max(1, round(counts.sum() / COPY))
+    tokens = materialize(dealt(docs, model, parts, text_col, id_col), "tokens")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)  # fixed size: see GROUPS, PLACES, HIDDEN
 
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, n = Network.__new__(Network), 0
-            own.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items() if k != "seen"})
-            for b in batches:
-                n += own.train(b.column(0).to_pylist())
-            if n:
-                pieces = np.array_split(own.flat(), PIECES)
-                copy = TaskContext.get().partitionId()
-                yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array([copy] * PIECES, pa.int64()), pa.array([float(n)] * PIECES), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "copy", "n", "data"])
-
-        copies = texts.mapInArrow(fit, "piece int, copy long, n double, data binary")
+        def fit(table: pa.Table) -> pa.Table:
+            own = Network.__new__(Network)
+            own.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items() if k not in ("seen", "ids")})
+            n = own.train(table.sort_by([("at", "ascending"), ("part", "ascending")]).column("ids").to_pylist())
+            pieces = np.array_split(own.flat(), PIECES)
+            copy = table.column("copy")[0].as_py()
+            return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "copy": pa.array([copy] * PIECES, pa.int64()), "n": pa.array([float(n)] * PIECES), "data": pa.array([p.tobytes() for p in pieces], pa.binary())})
+
+        copies = tokens.repartition(parts, "copy").groupBy("copy").applyInArrow(fit, "piece int, copy long, n double, data binary")
         left = parts
         while True:
             copies = copies.withColumn("to", F.floor(F.col("copy") / FAN)).groupBy("piece", "to").applyInArrow(_average, "piece int, copy long, n double, data binary")
@@ -240,6 +262,7 @@ def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1) -> Network:
         got = sorted(copies.collect(), key=lambda r: r["piece"])
         if got:
             model.load(np.concatenate([np.frombuffer(r["data"], np.float32) for r in got]))
+    release(tokens)
     return model
 
 
