@@ -222,7 +222,7 @@ def test_masked_model_fits_every_token_whatever_the_partitions(spark, monkeypatc
     monkeypatch.setattr(masked_lm, "PIECE", 64)
     monkeypatch.setattr(masked_lm, "COPY", 500)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    words, counts = masked_lm.word_counts(docs)
+    words, counts = masked_lm.word_counts(docs)[:2]
     total = sum(len((t or "").split()) for _, t in rows)
     model = masked_lm.Network(words, counts)
     pieces = [r["ids"] for r in masked_lm.dealt(docs, model, 5).collect()]
@@ -231,6 +231,24 @@ def test_masked_model_fits_every_token_whatever_the_partitions(spark, monkeypatc
     assert np.abs(one - many).max() < 1e-5
 
 
+def test_rare_words_have_their_share_of_a_class(spark):
+    common = " ".join(f"v{i}" for i in range(masked_lm.WORDS))
+    texts = [common, common, common + " often often", " ".join(f"w{i}" for i in range(2000)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = masked_lm.learn(docs)
+    share = {r["w"]: np.exp(r["lp"]) for r in model.rare.collect()}
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.BUCKETS
+    assert len(share) == 2001 and share["often"] > 2 * max(v for k, v in share.items() if k != "often" and bucket(k) == bucket("often"))
+    for b in range(masked_lm.BUCKETS):
+        seen = [v for k, v in share.items() if bucket(k) == b]
+        assert sum(seen) + masked_lm.UNSEEN * (len(seen) + 1) * np.exp(model.unseen[b]) == pytest.approx(1)
+    new = next(w for w in (f"zz{i}" for i in range(10**6)) if bucket(w) == bucket("often"))
+    asked = spark.createDataFrame([(1, "v1 often v2"), (1, "v1 often v2"), (2, f"v1 {new} v2")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["pll"]) for r in masked_lm.score(asked, model).collect())
+    classes = model.scores(["v1 often v2"])[1][0]
+    assert [p for _, p in got] == pytest.approx([classes + np.log(share["often"])] * 2 + [classes + model.unseen[bucket("often")]])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -12,6 +12,11 @@ the corpus once, and its steps do not depend on how the rows are partitioned.
 Scoring takes every token; a document's score is the sum of its tokens'
 conditional log probabilities.
 
+The network predicts a class, and a word of a class has its share of the class:
+log p(word | class) comes from the full table of word counts, by a join, with
+DISCOUNT of a count taken from each word for those the corpus does not hold. So
+the model's words grow with the corpus; the network's size stays.
+
 What is gathered from the corpus, word counts and the copies' fits, grows
 with the corpus; what reaches the driver is the vocabulary and one model.
 """
@@ -23,7 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.runtime import materialize, release
@@ -31,6 +36,8 @@ from tracewell.runtime import materialize, release
 GROUPS, PLACES = 64, 64
 BUCKETS = 256
 WORDS = GROUPS * PLACES - BUCKETS
+#: Of each rare word's count, what its class keeps for unseen words; and how many of these there are for each seen one.
+DISCOUNT, UNSEEN = 0.5, 10
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 16
 RATE = 0.2
@@ -44,8 +51,9 @@ EDGE = GROUPS * PLACES
 PIECES, FAN = 16, 32
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """The WORDS most frequent words (ties by code point), and the counts of all tokens by id."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
+    """The WORDS most frequent words (ties by code point), the counts of all tokens
+    by id, the different words of each class, and the other words (w, n) as a table."""
     low = F.lower(F.col(text_col).cast("string"))
     words = docs.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
@@ -57,20 +65,35 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.
             break
         left, least = left - r["words"], r["size"]
     top = [(r["w"], r["n"]) for r in counts.where(size >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()]
-    n = np.zeros(EDGE)
+    n, kinds = np.zeros(EDGE), np.zeros(BUCKETS)
+    rest = counts.where("false")
     n[: len(top)] = [c for _, c in top]
     if len(top) == WORDS:
         last = top[-1]
         rest = counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("w") > last[0])))
-        for r in rest.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect():
-            n[WORDS + r["b"]] = r["n"]
-    release(counts)
-    return [w for w, _ in top], n
+        for r in rest.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+            n[WORDS + r["b"]], kinds[r["b"]] = r["n"], r["kinds"]
+    return [w for w, _ in top], n, kinds, rest
+
+
+def within(n: Column, size: Column) -> Column:
+    """log p(word | class) of a word seen n times in a class of `size` tokens."""
+    return F.log((n - DISCOUNT) / size)
+
+
+def unseen(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log p(word | class) of a word that the corpus does not hold, per class."""
+    size = counts[WORDS:]
+    return np.log(np.where(size > 0, DISCOUNT * kinds / np.maximum(size, 1), 1.0) / (UNSEEN * (kinds + 1)))
 
 
 class Network:
-    def __init__(self, words: list[str], counts: np.ndarray, seed: int = 3):
+    #: (w, lp): log p(word | class) of all words that are no class of their own; None: none is known.
+    rare: DataFrame | None = None
+
+    def __init__(self, words: list[str], counts: np.ndarray, kinds: np.ndarray | None = None, seed: int = 3):
         self.ids = {w.encode(): i for i, w in enumerate(words)}
+        self.unseen = unseen(counts, np.zeros(BUCKETS) if kinds is None else kinds)
         rng = np.random.default_rng(seed)
         self.embed = (rng.standard_normal((len(WINDOW), EDGE + 1, HIDDEN)) * 0.1).astype(np.float32)
         self.group = (rng.standard_normal((GROUPS, HIDDEN)) * 0.1).astype(np.float32)
@@ -79,6 +102,9 @@ class Network:
         self.group_bias = np.log(c.sum(1) / c.sum()).astype(np.float32)
         self.place_bias = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rare"}
+
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.group, self.place, self.group_bias, self.place_bias]
 
@@ -96,6 +122,11 @@ class Network:
         out = [i if (i := get(x)) is not None else WORDS + crc32(x) % BUCKETS for x in _words(text)]
         return np.array(out, np.int64)
 
+    def others(self, text: str | None) -> bytes:
+        """The text's words that are no class of their own, with a space between."""
+        ids = self.ids
+        return b" ".join([x for x in _words(text) if x not in ids])
+
     def _forward(self, context: np.ndarray) -> np.ndarray:
         z = self.embed[0][context[:, 0]]
         for j in range(1, len(WINDOW)):
@@ -237,8 +268,8 @@ def dealt(docs: DataFrame, model: Network, copies: int, text_col: str = "text",
 def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1, id_col: str = "doc_id") -> Network:
     """The network of the corpus docs: every token of all documents is counted, and fitted once a round."""
     spark = docs.sparkSession
-    words, counts = word_counts(docs, text_col)
-    model = Network(words, counts)
+    words, counts, kinds, rest = word_counts(docs, text_col)
+    model = Network(words, counts, kinds)
     parts = max(1, round(counts.sum() / COPY))
     tokens = materialize(dealt(docs, model, parts, text_col, id_col), "tokens")
     for _ in range(rounds):
@@ -246,7 +277,7 @@ def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1, id_col: str
 
         def fit(table: pa.Table) -> pa.Table:
             own = Network.__new__(Network)
-            own.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items() if k not in ("seen", "ids")})
+            own.__dict__.update({k: v.copy() for k, v in shared.value.__dict__.items() if k not in ("seen", "ids", "rare", "unseen")})
             n = own.train(table.sort_by([("at", "ascending"), ("part", "ascending")]).column("ids").to_pylist())
             pieces = np.array_split(own.flat(), PIECES)
             copy = table.column("copy")[0].as_py()
@@ -263,12 +294,15 @@ def learn(docs: DataFrame, text_col: str = "text", rounds: int = 1, id_col: str
         if got:
             model.load(np.concatenate([np.frombuffer(r["data"], np.float32) for r in got]))
     release(tokens)
+    size = F.array(*[F.lit(float(c)) for c in counts[WORDS:]])
+    model.rare = rest.select("w", within(F.col("n"), F.element_at(size, (F.crc32(F.col("w").cast("binary")) % BUCKETS + 1).cast("int"))).alias("lp"))
     return model
 
 
 def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, pll, perplexity): pll is the summed log probability (nats) of
-    every token of the whole text given its window; perplexity is exp(-pll / n_tokens).
+    every token of the whole text given its window, words outside the network's
+    vocabulary by class and share of the class; perplexity is exp(-pll / n_tokens).
 
     Null and empty texts have no tokens, pll 0 and a null perplexity. Repeated
     rows are scored each; an empty table gives no rows; other columns are not read.
@@ -281,7 +315,19 @@ def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str
             n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for s in range(0, len(texts), 100):
                 n[s : s + 100], total[s : s + 100] = shared.value.scores(texts[s : s + 100])
-            perplexity = [float(np.exp(min(-t / k, 700.0))) if k else None for k, t in zip(n, total)]
-            yield pa.record_batch([b.column(0), pa.array(n), pa.array(total), pa.array(perplexity, pa.float64())], names=["doc_id", "n_tokens", "pll", "perplexity"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, pll double, perplexity double")
+            rare = pa.array([shared.value.others(t) for t in texts], pa.binary())
+            yield pa.record_batch([b.column(0), pa.array(n), pa.array(total), rare.cast(pa.string())], names=["doc_id", "n_tokens", "classes", "rare"])
+
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, classes double, rare string")
+    # a written row keeps its number
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    words = scored.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("w"))
+    none = F.element_at(F.array(*[F.lit(float(x)) for x in model.unseen]), (F.crc32(F.col("w").cast("binary")) % BUCKETS + 1).cast("int"))
+    if model.rare is None:
+        words = words.withColumn("lp", none)
+    else:
+        words = words.join(model.rare, "w", "left").withColumn("lp", F.coalesce("lp", none))
+    own = words.groupBy("row").agg(F.sum("lp").alias("own"))
+    pll = F.col("classes") + F.coalesce("own", F.lit(0.0))
+    perplexity = F.when(F.col("n_tokens") > 0, F.exp(F.least(-pll / F.col("n_tokens"), F.lit(700.0))))
+    return scored.join(own, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), perplexity.alias("perplexity"))
