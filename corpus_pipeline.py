@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, language_id, mixing, private_data, simhash
+from tracewell.llm import byte_bpe, language_id, mixing, near_copies, private_data
 from tracewell.runtime import materialize, read_table, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -29,9 +29,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id."""
+    """One document of each group of near copies (five words, Jaccard from 0.8), that of the smallest id."""
     _small_batches(spark)
-    return simhash.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ STAGES = [
     ("byte_bpe", encoded),
 ]
 
-#: XXH64, Kneser-Ney models and byte-pair merges are not SQL's; tests compare with brute force.
+#: XXH64, minima of hashes, Kneser-Ney models and byte-pair merges are not SQL's; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tracewell.llm import cap_filters, simhash, topk
+from tracewell.llm import cap_filters, near_copies, simhash, topk
 from tracewell.llm.components import components
 
 
@@ -121,3 +121,51 @@ def test_bounds_hold(segments):
     rng = np.random.default_rng(5)
     q, x = rng.standard_normal((20, 16)), rng.standard_normal((30, 16))
     assert (topk._statistics(q, segments) @ topk._statistics(x, segments).T >= q @ x.T - 1e-9).all()
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def near_copy_rows():
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        rows.append((10 * i, " ".join(w)))
+        for j in range(1, 1 + int(rng.integers(0, 4))):
+            w = list(w)
+            for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+                w[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((10 * i + j, " ".join(w)))
+    return rows
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
+    rows = near_copy_rows()
+    linked = [(a, b) for a, s in rows for b, t in rows if a < b < a + 10 and jaccard(s, t) >= 0.8]
+    far = sum(bin(simhash.fingerprint(dict(rows)[a].encode()) ^ simhash.fingerprint(dict(rows)[b].encode())).count("1") > 3 for a, b in linked)
+    assert far > len(linked) / 3  # what 3 bits of three words leave
+    root = smallest([i for i, _ in rows], linked)
+    assert len(set(root.values())) < len(rows) - 50
+    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+
+
+def test_split_is_exact():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(300)]
+    linked = [(i, j) for i in range(300) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert near_copies.split(sets).tolist() == list(smallest(range(300), linked).values())
+
+
+def test_each_group_keeps_one_row_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(None, a, "p"), (None, b, "p"), (None, a + " tail", "p"), (1, c, "p"), (1, d, "p"), (0, c, "p"), (5, "", "p"), (6, None, "p"), (0, c, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    got = near_copies.keep_first(docs)
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(got) == 5 and {(None, b), (1, d), (0, c), (5, "")} < set(got) and len({(None, a), (None, a + " tail")} & set(got)) == 1
+    assert near_copies.keep_first(docs.limit(0)).count() == 0
