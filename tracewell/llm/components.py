@@ -44,3 +44,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: groups(k, root) names that of every text's xxhash64 (null as empty).
+
+    It is the row of the smallest id; null ids come last, then the text's hash decides.
+    """
+    k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), k.alias("k")).groupBy("id", "k").agg(F.count("*").alias("n"))
+    rows = materialize(rows.join(groups, "k"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("x")).select("root", F.col("x.id").alias("first_id"), F.col("x.k").alias("first_k"))
+    judged = rows.join(first, "root").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k"))).alias("kept"))
+    judged = materialize(judged, "judged")
+    gone = judged.where("not kept").select(F.col("id").alias("__id"), F.col("k").alias("__gone"))
+    marked = docs.withColumn("__k", k)
+    kept = marked.join(gone, (F.col("__k") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    if judged.where("kept and n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, "__k"])
+    return kept.drop("__k")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import components
+from tracewell.llm.components import components, keep_one
 from tracewell.runtime import materialize
 
 SEED = 42
@@ -152,15 +152,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Columns stay. Rows are told apart by id and text, so each group keeps exactly
     one row whatever the ids: null ids come last, then the text's hash decides.
     """
-    k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), k.alias("k")).groupBy("id", "k").agg(F.count("*").alias("n"))
-    rows = materialize(rows.join(grouped(docs, text_col), "k"), "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("x")).select("root", F.col("x.id").alias("first_id"), F.col("x.k").alias("first_k"))
-    judged = rows.join(first, "root").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k"))).alias("kept"))
-    judged = materialize(judged, "judged")
-    gone = judged.where("not kept").select(F.col("id").alias("__id"), F.col("k").alias("__gone"))
-    marked = docs.withColumn("__k", k)
-    kept = marked.join(gone, (F.col("__k") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    if judged.where("kept and n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "__k"])
-    return kept.drop("__k")
+    return keep_one(docs, grouped(docs, text_col), id_col, text_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import components
+from tracewell.llm.components import components, keep_one
 from tracewell.runtime import materialize
 
 SEED = 42
@@ -157,14 +157,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest id.
+    """docs with one row of each near-duplicate group: the one with the smallest id.
 
-    Columns stay. Rows that repeat an id are one document and are kept once.
+    Columns stay. Rows are told apart by id and text, so each group keeps exactly
+    one row whatever the ids are.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
-    ids = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")), "ids")
-    gone = ids.where(~F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    if ids.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    fps = materialize(with_fingerprints(docs.select(F.xxhash64(t).alias("k"), t.alias("t")), "k", "t", words).distinct(), "fps")
+    distinct = materialize(fps.select("fp").distinct(), "distinct")
+    found = components(fingerprint_links(distinct, distinct.count()))
+    groups = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("doc_id").alias("k"), F.coalesce("root", "fp").alias("root"))
+    return keep_one(docs, groups, id_col, text_col)
