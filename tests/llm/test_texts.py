@@ -88,6 +88,15 @@ def test_disclosing_terms(spark):
     assert gain(4, 4) >= private_data.DISCLOSURE > gain(4, 64)
 
 
+def test_an_entity_seen_once_is_disclosed(spark):
+    rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(600)] + [(900, "plain words of Quibble by q.r@st.uv")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in private_data.spans_of(docs, disclosure=0.7).collect()}
+    assert got[900] == "email:26:35,term:15:22" and set(got.values()) == {"", got[900]}
+    # by hand: n(t,e) = n(t) = n(e) = 1 of 601, with 3 documents that tell nothing
+    assert np.log((1 + 3 / 601) / 4 * 601) / np.log(601) >= 0.7
+
+
 def test_language_models_are_distributions():
     m = language_id.Model({"a": ["abcabcabdabc ab"] * 3, "b": ["ababab cdcd"] * 2})
     chars = [*"abcd", " "]

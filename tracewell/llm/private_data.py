@@ -1,13 +1,16 @@
 """Personal data: patterns, and terms that disclose what the patterns found.
 
 Patterns find e-mail and IP addresses, card and phone numbers: the protected
-entities. Corpus co-occurrence then estimates how strongly each term of their
-surroundings reveals them: a term's pointwise mutual information with an
-entity, log n(t,e) N / (n(t) n(e)), over the entity's own information
-log N / n(e), is the share of it that the term discloses (1: the term is found
-with that entity only). Terms at or above a threshold, seen with the entity in
-several different surroundings, are spans of kind `term` next to it and are
-removed; patterns' spans are generalised to their kind.
+entities. Corpus co-occurrence then estimates how strongly each term of the texts
+that hold an entity reveals it. Counts are of whole documents: n(t), n(e), n(t,e)
+of N. With p(e) = n(e) / N and SUPPORT documents that tell nothing added to the
+term's, p(e|t) = (n(t,e) + SUPPORT p(e)) / (n(t) + SUPPORT), and
+log(p(e|t) / p(e)) over the entity's own information log(1 / p(e)) is the share of it
+that the term discloses (near 1: the term is found with that entity only). So few
+documents count for less, and an entity that is seen once can be disclosed in a
+corpus that is large enough. Terms at or above a threshold are spans of kind `term`
+wherever they occur, in texts without an entity too, and are removed; patterns'
+spans are generalised to their kind.
 
 Everything is made of built-in expressions. A match's place is the summed
 length of the pieces that `split` leaves before it and of earlier matches.
@@ -15,7 +18,7 @@ length of the pieces that `split` leaves before it and of earlier matches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.runtime import materialize
@@ -31,11 +34,9 @@ KINDS = {
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[...]"}
-#: Characters of text on each side of an entity that are its surroundings.
-REACH = 80
 #: Share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
-#: Different surroundings in which the term has to be seen with the entity.
+#: Documents that tell nothing, added to those of each term.
 SUPPORT = 3
 #: Candidate terms up to which the table of them is sent to all executors.
 SMALL = 100_000
@@ -88,75 +89,81 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), F.xxhash64(F.col(id_col), t).alias("key"))
 
 
-def _surroundings(found: DataFrame) -> DataFrame:
-    """(key, entity, around, word, s, e): the terms near each span of found(key, text, spans)."""
-    one = found.select("key", "text", F.explode("spans").alias("x"))
-    low = F.greatest(F.col("x.s") - REACH, F.lit(0))
-    left = F.substring(F.col("text"), low + 1, F.col("x.s") - low)
-    right = F.substring(F.col("text"), F.col("x.e") + 1, F.lit(REACH))
-    one = one.select(
-        "key",
-        F.concat_ws(":", "x.kind", F.lower("x.m")).alias("entity"),
-        F.xxhash64(left, right).alias("around"),
-        low.alias("low"),
-        F.col("x.e").alias("end"),
-        F.length("text").alias("n"),
-        left.alias("left"),
-        right.alias("right"),
-    )
-    words = F.concat(
-        F.transform(
-            F.filter(matches(F.col("left"), TERM, "term"), lambda w: (w["s"] > 0) | (F.col("low") == 0)),
-            lambda w: F.struct(F.lower(w["m"]).alias("word"), (w["s"] + F.col("low")).alias("s"), (w["e"] + F.col("low")).alias("e")),
-        ),
-        F.transform(
-            F.filter(matches(F.col("right"), TERM, "term"), lambda w: (w["e"] < F.length("right")) | (F.col("end") + F.length("right") == F.col("n"))),
-            lambda w: F.struct(F.lower(w["m"]).alias("word"), (w["s"] + F.col("end")).alias("s"), (w["e"] + F.col("end")).alias("e")),
-        ),
-    )
-    return one.select("key", "entity", "around", F.explode(words).alias("w")).select("key", "entity", "around", "w.*")
-
-
-def _term_documents(rows: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """(word, n): documents that hold each wanted word."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    each = rows.select(F.explode(words).alias("word"))
-    if small:
-        return each.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    return each.groupBy("word").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi")
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(key, doc_id, spans): the spans of each row that has any.
+def _words(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    spans: array of (kind, s, e, m) by kind (patterns as in KINDS, then terms),
-    then start. Counts are over all documents; null texts count as empty;
-    equal rows have equal keys and spans; the same key appears once.
-    """
+
+def _places(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, terms): where each text of texts(key, text) has a term of named(word), as spans."""
+    both = F.arrays_zip(F.split("text", TERM, -1).alias("p"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"))
+    each = texts.select("key", F.posexplode(both).alias("i", "x")).where("x.m is not null")
+    each = each.select("key", "i", F.length("x.p").alias("gap"), F.length("x.m").alias("n"), F.lower("x.m").alias("word"))
+    e = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("key").orderBy("i")).cast("int")
+    each = each.select("key", "word", (e - F.col("n")).alias("s"), e.alias("e"))
+    spans = F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("word").alias("m"))))
+    return each.join(named, "word", "left_semi").groupBy("key").agg(spans.alias("terms"))
+
+
+def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: float = SUPPORT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their keys, (key, doc_id, spans) of the patterns, and the terms (word) that disclose an entity."""
     rows = _rows(docs, id_col, text_col)
     found = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"])
     found = materialize(found, "found")
-    near = materialize(_surroundings(found), "near")
-    total = docs.count()
-    pairs = near.groupBy("entity", "word").agg(F.countDistinct("around").alias("around"), F.countDistinct("key").alias("both")).where(F.col("around") >= support)
-    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("own"))
-
-    def telling(n: str) -> Column:
-        gain = F.log(F.col("both") * F.lit(float(total)) / (F.col(n) * F.col("own"))) / F.log(F.lit(float(total)) / F.col("own"))
-        return (F.col("own") < total) & (gain >= disclosure)
-
-    # a term's documents near any entity are some of all its documents: who fails with these fails
-    seen = near.groupBy("word").agg(F.countDistinct("key").alias("seen"))
-    pairs = materialize(pairs.join(entities, "entity").join(seen, "word").where(telling("seen")), "pairs")
-    wanted = materialize(pairs.select("word").distinct(), "wanted")
-    n = wanted.count()
+    total = float(docs.count())
+    name = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["m"])))
+    with_entity = found.select("key", F.explode(F.array_distinct(name)).alias("entity"))
+    own = with_entity.groupBy("entity").agg(F.count("*").alias("own")).where(F.col("own") < total)
+    with_entity = with_entity.join(own, "entity")
+
+    def most(own: Column) -> Column:
+        """Documents of a term up to which it can reach the threshold, as it is with the entity in `own` at most."""
+        return own * (1 + support / total) * F.pow(total / own, F.lit(1 - disclosure)) - support
+
+    # a term's documents with any entity are some of all its documents: who fails with these fails
+    words = materialize(found.select("key", F.explode(_words(F.col("text"))).alias("word")), "words")
+    largest = own.agg(F.max(most(F.col("own"))).alias("m")).first()["m"] if total else None
+    limit = 0.0 if largest is None else float(largest) + 1e-6
+    wanted = words.groupBy("word").agg(F.count("*").alias("seen")).where(F.col("seen") <= limit).select("word")
+    wanted = materialize(wanted, "wanted")
+    few = wanted.count()
+    if not few:
+        return rows, found, wanted
+    each = rows.select(F.explode(_words(F.col("text"))).alias("word"))
+    if few <= SMALL:
+        terms = each.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    else:
+        terms = each.groupBy("word").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi")
+    terms = materialize(terms.where(F.col("n") <= limit), "terms")
+    pairs = words.join(terms, "word").join(with_entity, "key").where(F.col("n") <= most(F.col("own")) + 1e-6)
+    pairs = pairs.groupBy("entity", "word").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("own").alias("own"))
+    p = F.col("own") / total
+    gain = F.log((F.col("both") + support * p) / (F.col("n") + support) / p) / F.log(1 / p)
+    return rows, found, materialize(pairs.where(gain >= disclosure).select("word").distinct(), "named")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: float = SUPPORT) -> DataFrame:
+    """(key, doc_id, spans): the spans of each row that has any.
+
+    spans: array of (kind, s, e, m) by kind (patterns as in KINDS, then terms
+    that do not touch those), then start. Counts are over all documents; null
+    texts count as empty; equal rows have equal keys and spans; the same key
+    appears once.
+    """
+    rows, found, named = disclosing(docs, id_col, text_col, disclosure, support)
     out = found.select("key", "doc_id", "spans")
+    n = named.count()
     if not n:
         return out
-    terms = _term_documents(rows, wanted, n <= SMALL)
-    named = pairs.join(terms, "word").where(telling("n")).select("entity", "word")
-    more = near.join(named, ["entity", "word"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("word").alias("m")))).alias("terms"))
-    return out.join(more, "key", "left").select("key", "doc_id", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))
+    known = F.broadcast(named) if n <= SMALL else named
+    marked = found.select("key", F.explode(_words(F.col("text"))).alias("word")).join(known, "word", "left_semi").select("key").distinct()
+    texts = rows.join(materialize(marked, "marked"), "key", "left_semi").select("key", "doc_id", "text").dropDuplicates(["key"])
+    texts = materialize(texts, "texts")
+    more = _places(texts, known).join(texts.select("key", F.col("doc_id").alias("id")), "key")
+    spans = F.coalesce("spans", F.array().cast(SPAN))
+    free = F.filter(F.coalesce("terms", F.array().cast(SPAN)), lambda t: ~F.exists(spans, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    out = out.join(more, "key", "full").select("key", F.coalesce("doc_id", "id").alias("doc_id"), F.concat(spans, free).alias("spans"))
+    return out.where(F.size("spans") > 0)
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
