@@ -97,6 +97,15 @@ def test_an_entity_seen_once_is_disclosed(spark):
     assert np.log((1 + 3 / 601) / 4 * 601) / np.log(601) >= 0.7
 
 
+def test_terms_are_found_all_over_the_texts(spark):
+    far = "filler " * 40
+    rows = [(i, f"zephyrine {far} a.b@c.de") for i in range(4)] + [(10, f"{far}Zephyrine here, zephyrine! {far}")] + [(100 + i, far) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
+    assert clean[0] == f"[...] {far} [EMAIL]" and clean[100] == far
+    assert clean[10] == f"{far}[...] here, [...]! {far}"
+
+
 def test_language_models_are_distributions():
     m = language_id.Model({"a": ["abcabcabdabc ab"] * 3, "b": ["ababab cdcd"] * 2})
     chars = [*"abcd", " "]

@@ -156,7 +156,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     if not n:
         return out
     known = F.broadcast(named) if n <= SMALL else named
-    marked = found.select("key", F.explode(_words(F.col("text"))).alias("word")).join(known, "word", "left_semi").select("key").distinct()
+    marked = rows.select("key", F.explode(_words(F.col("text"))).alias("word")).join(known, "word", "left_semi").select("key").distinct()
     texts = rows.join(materialize(marked, "marked"), "key", "left_semi").select("key", "doc_id", "text").dropDuplicates(["key"])
     texts = materialize(texts, "texts")
     more = _places(texts, known).join(texts.select("key", F.col("doc_id").alias("id")), "key")
