@@ -187,6 +187,19 @@ def test_mixing(spark):
     assert mixing.draws(docs.limit(0)).count() == 0
 
 
+def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
+    rows = [(i, "w " * 20, "a") for i in range(1500)] + [(9000, "w " * 60_000, "a"), (9001, "w " * 20, "b"), (700, "w " * 20, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((5, 2, 1), (1, 5)):
+        for share in (0.2, 0.4, 0.9, 1.4):
+            got = [r for r in mixing.draws(docs, weights=weights, share=share).collect() if r["s"] == "a"]
+            target, size = got[0]["target"], got[0]["source_size"]
+            left = target - sum(r["size"] * len(r["shards"]) for r in got)
+            passes = int(target // size)
+            out = [r["size"] for r in got if len(r["shards"]) == passes]
+            assert left >= 0 and all(s > left or left < 40 for s in out), (weights, share, left)
+
+
 def test_urls(spark):
     urls = ["http://a.com/x", "http://A.COM", "h://www.example.com/en/1", "h://example.com/en/1?q", "h://notexample.com/en/1", "h://x.net/es/1", "h://net/fr/", "h://net/de/#a", "x.net/es/1", None, "", "h://x.net/es", "a://b://c.com/x", "h://é.com/" + "y" * 50000]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'z' as host")

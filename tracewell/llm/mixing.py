@@ -4,7 +4,9 @@ Every source's documents are put in a permuted order by a hash of their id and
 cut in blocks along it. A source's target is met by whole passes over its
 blocks and one part of a pass: the blocks, and in the last one the documents,
 that come first in the permuted order while they fit; what is then left of the
-quota is filled with the largest documents that fit. The exact block quotas are
+quota is filled with the largest documents that fit. While more documents fit, the
+rest is gone through again in the permuted order, without those that are too
+large, and the largest one that fits is added: each such round halves what is left. The exact block quotas are
 divided among the output shards by a tree: each node splits its shards in two
 and draws the left half's blocks from the sources by a multivariate
 hypergeometric distribution. A shard's blocks of a source are the next ones in
@@ -77,6 +79,7 @@ _CUTS = T.StructType(
         T.StructField("cut", T.LongType()),
         T.StructField("extra", T.ArrayType(T.LongType())),
         T.StructField("bounds", T.ArrayType(T.LongType())),
+        T.StructField("more", T.ArrayType(T.StructType([T.StructField("most", T.DoubleType()), T.StructField("upto", T.LongType())]))),
     ]
 )
 
@@ -85,6 +88,50 @@ def _table(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[f.name] for f in _CUTS) for r in rows], _CUTS)
 
 
+def _go_on(rows: DataFrame, info: list[dict]) -> DataFrame:
+    """Fills what is left of the sources' quotas until no remaining document fits.
+
+    A round appends to `more` (most, upto): documents of at most so many words and
+    up to that place of the permuted order are taken; and one document to `extra`.
+    rows gets w, the words of a row's id, if there is such a round.
+    """
+    spark, by = rows.sparkSession, {r["s"]: r for r in info}
+    whole = rows.groupBy("s", "h").agg(F.sum("size").alias("w"))
+
+    def able() -> DataFrame:
+        need = spark.createDataFrame([(r["s"], float(r["left"]), r["cut"], r["extra"], r["more"], r["blocks"]) for r in info], "q string, left double, qc long, qx array<long>, qm array<struct<most:double,upto:long>>, blocks long")
+        rest = whole.join(need, F.col("s").eqNullSafe(F.col("q"))).where("w > 0 and w <= left and h > qc and not array_contains(qx, h)")
+        rest = rest.where(~F.exists("qm", lambda x: (F.col("w") <= x["most"]) & (F.col("h") <= x["upto"])))
+        return rest.withColumn("b", F.floor(F.col("h") / F.ceil(F.lit(SPAN) / F.col("blocks"))))
+
+    if not able().limit(1).count():
+        return rows
+    whole = materialize(whole, "whole")
+    while True:
+        rest = materialize(able(), "rest")
+        per = rest.groupBy("s", "b").agg(F.sum("w").alias("w"), F.first("left").alias("left"))
+        per = materialize(per.withColumn("end", F.sum("w").over(Window.partitionBy("s").orderBy("b"))), "per")
+        ends = {r["s"]: r["end"] for r in per.groupBy("s").agg(F.max("end").alias("end")).collect()}
+        if not ends:
+            return rows.withColumn("w", F.sum("size").over(Window.partitionBy("s", "h")))
+        part = per.where("end > left").groupBy("s").agg(F.min_by(F.struct("b", (F.col("end") - F.col("w")).alias("before")), "b").alias("x")).select(F.col("s").alias("q2"), F.col("x.b").alias("qb"), "x.before")
+        first = {r["q2"]: r for r in part.collect()}
+        inside = rest.join(part, F.col("s").eqNullSafe(F.col("q2")) & (F.col("b") == F.col("qb")))
+        inside = inside.withColumn("end", F.col("before") + F.sum("w").over(Window.partitionBy("s").orderBy("h")))
+        cuts = {r["s"]: r for r in inside.where("end <= left").groupBy("s").agg(F.max("h").alias("h"), F.max("end").alias("end")).collect()}
+        for s, end in ends.items():
+            upto, taken = SPAN - 1, end
+            if s in cuts:
+                upto, taken = cuts[s]["h"], cuts[s]["end"]
+            elif s in first:
+                upto, taken = -(-SPAN // by[s]["blocks"]) * int(first[s]["b"]) - 1, first[s]["before"]
+            by[s]["more"].append((float(by[s]["left"]), int(upto)))
+            by[s]["left"] -= taken
+        for r in able().groupBy("s").agg(F.max(F.struct("w", (-F.col("h")).alias("h"))).alias("x")).collect():
+            by[r["s"]]["extra"].append(-r["x"]["h"])
+            by[r["s"]]["left"] -= r["x"]["w"]
+
+
 def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS) -> DataFrame:
     """One row per row of docs: doc_id, s (source), size, source_size, target, shards.
 
@@ -92,8 +139,8 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     its size is how often: 0 to `cap` times. Null texts have size 0, null
     sources are a source, rows that repeat an id are taken together, an empty
     table gives no rows, and the same input gives the same result. A source's
-    taken words differ from its target by less than the smallest of the
-    documents that a pass leaves out.
+    taken words stay below its target by less than the smallest of the
+    documents that the last pass leaves out.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -105,7 +152,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     for s, (n, words) in sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")):
         passes = min(cap, int(goal[s] // words)) if words else 0
         blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK)))
-        info.append({"s": s, "source_size": words, "target": goal[s], "passes": passes, "blocks": blocks, "cut": -1, "extra": [], "bounds": [], "quota": goal[s] - passes * words})
+        info.append({"s": s, "source_size": words, "target": goal[s], "passes": passes, "blocks": blocks, "cut": -1, "extra": [], "bounds": [], "more": [], "quota": goal[s] - passes * words})
     by = {r["s"]: r for r in info}
 
     def with_info(df: DataFrame, *names: str) -> DataFrame:
@@ -139,14 +186,17 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         for r in able.groupBy("s").agg(F.max(F.struct("size", (-F.col("h")).alias("h"))).alias("x")).collect():
             by[r["s"]]["extra"].append(-r["x"]["h"])
             by[r["s"]]["left"] -= r["x"]["size"]
+    rows = _go_on(rows, info)
     for r in info:
         width = -(-SPAN // r["blocks"])
-        r["drawn"] = r["passes"] * r["blocks"] + (0 if r["cut"] < 0 and not r["extra"] else min(r["blocks"], max(r["cut"], 0) // width + 1))
+        r["drawn"] = r["passes"] * r["blocks"] + (0 if r["cut"] < 0 and not r["extra"] else min(r["blocks"], max(r["cut"], 0, *[upto for _, upto in r["more"]]) // width + 1))
     tree = splitting_tree([r["drawn"] for r in info], shards)
     for i, r in enumerate(info):
         r["bounds"] = [int(x) for x in np.cumsum(tree[:, i])]
-    out = with_info(rows, "source_size", "target", "passes", "blocks", "cut", "extra", "bounds")
+    out = with_info(rows, "source_size", "target", "passes", "blocks", "cut", "extra", "bounds", "more")
     chosen = (F.col("h") <= F.col("cut")) | F.array_contains("extra", F.col("h"))
+    if any(r["more"] for r in info):
+        chosen = chosen | F.exists("more", lambda x: (F.col("w") <= x["most"]) & (F.col("h") <= x["upto"]))
     times = F.col("passes") + F.when(chosen & (F.col("passes") < cap), 1).otherwise(0)
     at = F.floor(F.col("h") / F.ceil(F.lit(SPAN) / F.col("blocks")))
     shard = F.transform(
