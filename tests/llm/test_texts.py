@@ -130,6 +130,15 @@ def test_language_id(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_every_label_gets_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{l}{rng.integers(0, 50)}" for _ in range(4000)), l) for l in "abcdefgh" for i in range(1, 3)] + [(i, f"short text {i}", "z") for i in range(2000)]
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows) if zlib.crc32(str(n).encode()) % 5], "doc_id long, text string, lang string")
+    got = language_id.sample(docs, "doc_id", "text", "lang", chars=3000)
+    assert set(got) == {r["lang"] for r in docs.select("lang").distinct().collect()}
+    assert all(3000 <= sum(map(len, v)) < 6000 for v in got.values()) and all(len(v) == 1 for k, v in got.items() if k != "z")
+
+
 def test_quality_votes(spark):
     rng = np.random.default_rng(3)
     words = [f"wort{i}" for i in range(400)]

@@ -26,6 +26,8 @@ ALPHABET = 4096
 UNDETERMINED = "und"
 #: Characters of a language's labelled texts that the model is learned from, about.
 SAMPLE_CHARS = 1_500_000
+#: Parts of the range of texts' hashes.
+CELLS = 1_000_003
 #: Characters scored at once.
 SLICE = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -229,14 +231,30 @@ def held_out(id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Whole labelled texts for learning, about `chars` characters a label: a text
-    is taken by its hash, with the share that brings the label to that size."""
-    rows = docs.select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    """Labelled texts for learning: of each label those of the least hashes until they
+    have `chars` characters, one text at least. Of a longer text its first `chars` count."""
+    rows = docs.select(F.substring(F.col(text_col), 1, chars).alias("t"), F.col(label_col).cast("string").alias("l")).where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect() if r["n"]}
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, chars / n)))])
-    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < 1_000_003 * share[F.col("l")]).collect()
+    cell = F.pmod(F.xxhash64("t"), F.lit(CELLS))
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        table = F.create_map(*[x for k, n in limits.items() for x in (F.lit(k), F.lit(n))])
+        return rows.where(cell < table[F.col("l")])
+
+    limits = {k: CELLS for k in sizes}
+    tried = {k: int(2 * CELLS * chars / n) + 1 for k, n in sizes.items() if n > chars}
+    while tried:  # about twice as many as needed at first
+        found = below(tried).groupBy("l", cell.alias("cell")).agg(F.sum(F.length("t")).alias("n")).collect()
+        total = dict.fromkeys(tried, 0)
+        for r in sorted(found, key=lambda r: r["cell"]):
+            k = r["l"]
+            if total[k] < chars:
+                total[k] += r["n"]
+                limits[k] = r["cell"] + 1
+        tried = {k: min(4 * n, CELLS) for k, n in tried.items() if total[k] < chars and n < CELLS}
+    taken = below(limits).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(taken, key=lambda r: (r["l"], r["t"])):
         out.setdefault(r["l"], []).append(r["t"])
