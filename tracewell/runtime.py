@@ -71,6 +71,17 @@ def release(*frames: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, or the same with underscores behind where df has such a column already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
