@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,34 +77,102 @@ def test_base_spans(spark):
         assert [r[f"n_{k}"] for k in BASE] == [want.count(k + ":") for k in BASE]
 
 
-def test_disclosing_terms(spark):
+def plain_spans(rows, likely, bits, support):
+    """Spans by counting every pair of a term and an entity."""
+    texts = {i: t or "" for i, t in rows}
+    words = {i: {w.lower() for w in regex.findall(r"\p{L}{3,}", t)} for i, t in texts.items()}
+    entities = {}
+    for i, t in texts.items():
+        for x in filter(None, base_spans(t).split(",")):
+            kind, s, e = x.split(":")
+            entities.setdefault((kind, t[int(s) : int(e)].lower()), set()).add(i)
+    total, named = len(rows), set()
+    for t in set().union(*words.values()):
+        n = {i for i, w in words.items() if t in w}
+        for own in entities.values():
+            p = (len(n & own) + support * len(own) / total) / (len(n) + support)
+            if n & own and p >= likely and np.log2(p * total / len(own)) >= bits:
+                named.add(t)
+    out = {}
+    for i, t in texts.items():
+        base = list(filter(None, base_spans(t).split(",")))
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base]
+        found = [m.span() for m in regex.finditer(r"\p{L}{3,}", t) if m[0].lower() in named]
+        out[i] = ",".join(base + [f"term:{s}:{e}" for s, e in found if not any(a < e and s < b for a, b in taken)])
+    return out
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    contacts = [f"{a}.{b}@site{k}.org" for k, (a, b) in enumerate(zip(["ana", "zoltan", "mira", "oleg"], ["quill", "x", "stone", "berg"]))] + ["10.0.0.7", "+49 170 1234567"]
+    owners = [["velvet", "Harbour"], ["cobalt"], ["velvet", "ember"], ["Tundra", "ember", "maple"], ["quartz"], ["saffron"]]
+    common = [f"plain{chr(97 + i)}" for i in range(26)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(common, 12))
+        for k in rng.choice(6, int(rng.integers(0, 3)), replace=False) if i % 4 == 0 else ():
+            w += [contacts[k], *rng.choice(owners[k], 1), contacts[int(rng.integers(0, 6))] if i % 12 == 0 else "tail"]
+        if i % 37 == 0:
+            w.append(str(rng.choice([x for o in owners for x in o])))
+        rows.append((i, " ".join(rng.permutation(w))))
+    rows += [(500, None), (501, ""), (502, "xQuartz@y.zz+490001234567quartz")]
+    got = private_data.spans_of(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).where("doc_id = 0").collect()
+    assert len(got) == 2 and len(set(got)) == 1
+    alone = spark.createDataFrame(rows, "doc_id long, text string")
+    for likely, bits, support in ((0.5, 2.0, 0.5), (2 / 3, 3.0, 0.5), (0.4, 4.0, 1.0)):
+        assert {r["doc_id"]: r["spans"] for r in private_data.spans_of(alone, likely=likely, bits=bits, support=support).collect()} == plain_spans(rows, likely, bits, support)
+
+
+def test_sanitised_texts(spark):
     rows = [(i, f"intro {w} words about quartz owner reach me a.b@c.de zephyrine tail common", "k") for i, w in enumerate(["alpha", "beta", "gamma", "delta"])]
-    rows += [(100 + i, f"common words about nothing tail owner intro {w} reach plain", "k") for i, w in enumerate(["alpha"] * 60)] + [(7, None, "n"), (8, "", "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    clean = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
+    rows += [(100 + i, f"common words about nothing tail owner intro {w} reach plain", "k") for i, w in enumerate(["alpha"] * 60)] + [(7, None, "n"), (8, "", "e"), (9, None, None), (None, "x a.b@c.de y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "key as spans", "1 as found_key")
+    clean = private_data.sanitise(docs, bits=3.0)
+    assert clean.columns == docs.columns
+    clean = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert clean[0] == "intro alpha words about [...] owner reach me [EMAIL] [...] tail common"
-    assert clean[7] is None and clean[8] == "" and clean[100] == rows[4][1]
-    # by hand: n(t,e) = own = 4 of 66 documents; `reach` is in 64
-    gain = lambda both, n: np.log(both * 66 / (n * 4)) / np.log(66 / 4)
-    assert gain(4, 4) >= private_data.DISCLOSURE > gain(4, 64)
+    assert clean[7] is None and clean[8] == "" and clean[100] == rows[4][1] and clean[None] == "x [EMAIL] y"
+    assert private_data.sanitise(docs.limit(0)).count() == private_data.spans_of(docs.limit(0)).count() == 0
 
 
 def test_an_entity_seen_once_is_disclosed(spark):
     rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(600)] + [(900, "plain words of Quibble by q.r@st.uv")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in private_data.spans_of(docs, disclosure=0.7).collect()}
+    got = {r["doc_id"]: r["spans"] for r in private_data.spans_of(docs).collect()}
     assert got[900] == "email:26:35,term:15:22" and set(got.values()) == {"", got[900]}
-    # by hand: n(t,e) = n(t) = n(e) = 1 of 601, with 3 documents that tell nothing
-    assert np.log((1 + 3 / 601) / 4 * 601) / np.log(601) >= 0.7
-
-
-def test_terms_are_found_all_over_the_texts(spark):
-    far = "filler " * 40
-    rows = [(i, f"zephyrine {far} a.b@c.de") for i in range(4)] + [(10, f"{far}Zephyrine here, zephyrine! {far}")] + [(100 + i, far) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    clean = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
-    assert clean[0] == f"[...] {far} [EMAIL]" and clean[100] == far
-    assert clean[10] == f"{far}[...] here, [...]! {far}"
+    # a term that tells the entity is removed from other texts too; an entity of every third text has too few bits
+    rows += [(901, "words of quibble by q.r@st.uv"), (902, "words of quibble by q.r@st.uv"), (903, "Quibble, quibble! words"), *((2000 + i, "licence of acme by ask@acme.org") for i in range(300))]
+    clean = {r["doc_id"]: r["text"] for r in private_data.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[903] == "[...], [...]! words" and clean[901] == "words of [...] by [EMAIL]" and clean[2000] == "licence of acme by [EMAIL]"
+
+
+def test_many_spans_in_one_text_take_seconds(spark):
+    mails = [f"u{i}@h{i % 7}.org" for i in range(20_000)]
+    text = "é " + " ".join(f"{m} wort" for m in mails)
+    docs = spark.createDataFrame([(1, text), (2, "wort")], "doc_id long, text string")
+    began = time.time()
+    row = private_data.spans_of(docs).where("doc_id = 1").first()
+    clean = private_data.sanitise(docs).where("doc_id = 1").first()["text"]
+    assert time.time() - began < 60
+    assert row["n_email"] == 20_000 and row["spans"] == base_spans(text) and clean == "é " + " ".join(["[EMAIL] wort"] * 20_000)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12), st.sampled_from(["email", "ip", "term"])), max_size=8))
+def test_spans_are_replaced_as_by_hand(spark, spans):
+    text = "".join(chr(0x1F600 + i % 40) if i % 5 == 0 else chr(97 + i % 26) for i in range(60))
+    given_spans = [(k, s, s + n, "") for s, n, k in spans]
+    out, at = "", 0
+    for kind, s, e, _ in sorted(given_spans, key=lambda x: (x[1], -x[2], x[0])):
+        if s >= at:
+            out += text[at:s] + private_data.GENERAL[kind]
+        at = max(at, e)
+    df = spark.createDataFrame([(text, given_spans)], f"t string, s {private_data.SPAN}")
+    import unittest.mock
+
+    with unittest.mock.patch.object(private_data, "BLOCK", 7):
+        got = df.select(private_data.replaced(df["t"], df["s"]).alias("x")).first()["x"]
+    assert got == (out + text[at:] if spans else text)
 
 
 def test_language_models_are_distributions():
