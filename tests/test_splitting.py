@@ -36,7 +36,10 @@ def test_python():
 def test_shell():
     text = '#!/bin/sh\n# note\nf() {\n  echo "}"\n}\nif true; then\n  ls\nfi\ncat <<EOF\nhi {\nEOF\nls \\\n  -l\n'
     assert shell_spans(text) == [(1, 1), (3, 5), (6, 8), (9, 11), (12, 13)]
-    for bad in ("f() {\n", "}\n", "cat <<X\n", 'echo "a\n', "if x\n"):
+    assert shell_spans("if a; then b; fi\nfor x in 1 2; do\n  echo 'fi\n#' # }\ndone; ls\nx=$((1<<2))\ncat <<<'y'\n") == [(1, 1), (2, 5), (6, 6), (7, 7)]
+    assert shell_spans("a <<-'X' <<Y | b &&\nX {\n\tX\nif\nY\ncase $1 in\n  if) done=1 ;;\nesac\necho done if") == [(1, 5), (6, 8), (9, 9)]
+    assert shell_spans("# only a note\n\n") == [] == shell_spans("")
+    for bad in ("f() {\n", "}\n", "cat <<X\n", 'echo "a\n', "if x\n", "echo 'a"):
         with pytest.raises(Unsplit):
             shell_spans(bad)
 
@@ -113,6 +116,9 @@ def test_roles():
     assert class_roles(".a:has(.b) > p") == (["b"], ["a"])
     assert class_roles(".a:not(.b)") == (["a"], [])
     assert class_roles(".a p") == (["a"], [])
+    assert class_roles("  .a[href='.x y'].b > .c:is(.d .e, :not(.f)) ~ p::before ") == (["d", "e"], ["a", "b", "c"])
+    assert class_roles("") == ([], []) == class_roles("p > q")
+    assert style_names(".x .y { }", [".x .y", ".x"]) == [("class", "y", "subject"), ("class", "x", "subject")]
     assert style_names(":root { --x: 1; --y : 2 }", []) == [("variable", "--x", "subject"), ("variable", "--y", "subject")]
     assert style_names("@keyframes spin { }", []) == [("animation", "spin", "subject")]
     assert style_names("@import 'x';", []) == []
@@ -123,6 +129,17 @@ def test_bindings():
     assert next(bindings("a.py", "def f(): from m import x")) == ("from", "x", "m", "x", True)
     assert [b[:4] for b in bindings("a.ts", 'import D, { type A as B } from "./m"')] == [("named", "D", "./m", "(default)"), ("named", "B", "./m", "A")]
     assert [b[:4] for b in bindings("a.ts", 'export * from "./m"')] == [("export-star", None, "./m", None)]
+    every = lambda file, text: [b[:4] for b in bindings(file, text)]
+    assert every("a.py", "import a.b as c, d") == [("import", "c", "a.b", None)] and every("a.py", "import a.b") == [("import", "a", "a.b", None)]
+    assert every("a.py", "from . import (x, y as z,) # w") == [("from", "x", ".", "x"), ("from", "z", ".", "y")] and every("a.py", "from m import *") == []
+    assert every("a.py", "def f(): import os; from ..m import x, y return x") == [("import", "os", "os", None), ("from", "x", "..m", "x"), ("from", "y", "..m", "y")]
+    assert every("a.py", '"""import x"""') == [] == every("a.py", "important = 1")
+    assert every("a.ts", 'import * as n from "./m"') == [("star", "n", "./m", "n")] and every("a.ts", 'import "./m"') == []
+    assert every("a.ts", 'import type { A, /* no */ B as C, } from "./m";') == [("named", "A", "./m", "A"), ("named", "C", "./m", "B")]
+    assert every("a.ts", 'import type from "./m"') == [("named", "type", "./m", "(default)")]
+    assert every("a.ts", 'export * as n from "./m"') == [("export-module", "n", "./m", "*")]
+    assert every("a.ts", 'export { default as x, type Y } from "./m"') == [("export-from", None, "./m", None), ("export-named", "x", "./m", "default"), ("export-named", "Y", "./m", "Y")]
+    assert every("a.ts", "export const a = { b: 1 };") == [] == every("a.ts", "export default { a };") == every("a.ts", "export {}")
     assert [b[:4] for b in bindings("a.ts", "export { a as b };")] == [("export-bare", "b", None, "a")]
 
 
