@@ -44,7 +44,7 @@ GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]
 LIKELY, BITS = 2 / 3, 6.0
 #: Documents that tell nothing, added to those of each term.
 SUPPORT = 0.5
-#: Terms, and bytes of them, up to which their table is sent to all executors.
+#: Terms or keys, and bytes of them, up to which their table is sent to all executors.
 SMALL, SMALL_BYTES = 200_000, 8_000_000
 TERM = r"\p{L}{3,}+"
 SPAN = "array<struct<kind:string,s:int,e:int,m:string>>"
@@ -137,10 +137,10 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _small(words: DataFrame) -> DataFrame:
-    """words(word), to be broadcast where their size allows it."""
-    size = words.agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
-    return F.broadcast(words) if size["n"] <= SMALL and (size["bytes"] or 0) <= SMALL_BYTES else words
+def _small(keys: DataFrame) -> DataFrame:
+    """A column of strings, to be broadcast where its size allows it."""
+    size = keys.agg(F.count("*").alias("n"), F.sum(F.octet_length(keys.columns[0])).alias("bytes")).first()
+    return F.broadcast(keys) if size["n"] <= SMALL and (size["bytes"] or 0) <= SMALL_BYTES else keys
 
 
 def _same_documents() -> list[Column]:
@@ -175,8 +175,7 @@ def disclosing(found: DataFrame, rows: DataFrame, total: int, likely: float = LI
     asked = able.join(terms, ["seen", "x1", "x2"]).select("word", "term").join(pairs, "term")
     asked = materialize(asked.select("word", "both", "own"), "asked")
     n = rows.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    named = n.join(_small(asked.select("word").distinct()), "word", "left_semi").join(asked, "word")
-    return named.where(discloses(F.col("both"), F.col("own"), F.col("n"))).select("word").distinct()
+    return n.join(asked, "word").where(discloses(F.col("both"), F.col("own"), F.col("n"))).select("word").distinct()
 
 
 def _free(spans: Column, terms: Column) -> Column:
@@ -209,8 +208,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likely
     out = found.select("key", "spans")
     if not named.limit(1).count():
         return out
-    each = rows.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("x")).select("key", F.lower("x.m").alias("word"), "x.s", "x.e")
-    each = each.join(_small(named), "word", "left_semi")
+    known = _small(named)
+    marked = rows.select("key", F.explode(_words(F.col("text"))).alias("word")).join(known, "word", "left_semi").select("key").distinct()
+    texts = rows.join(_small(materialize(marked, "marked")), "key", "left_semi")
+    each = texts.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("x")).select("key", F.lower("x.m").alias("word"), "x.s", "x.e")
+    each = each.join(known, "word", "left_semi")
     # equal rows give equal spans
     terms = each.groupBy("key").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("word").alias("m"))).alias("terms"))
     none = F.array().cast(SPAN)
