@@ -98,29 +98,46 @@ def test_caps_recall_at_the_threshold():
     assert np.mean(np.array(shared) > 0) >= 0.999
 
 
-def test_top_k_against_brute_force(spark):
+def test_top_k_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(int(i), (rng.integers(-3, 4, 16) / 8).tolist()) for i in range(150)]
-    rows += [(500, None), (520, [float("inf")] * 16), (540, [0.1] * 3), (560, [0.2] * 3), (561, [0.3] * 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {}
-    for r in topk.top_k(df, "vec_id % 20 = 0", k=7).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    z = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows if v and np.isfinite(v).all()}
-    want = {}
-    for q in z:
-        if q % 20 == 0:
-            best = sorted((-int(z[q] @ z[c]), c) for c in z if c != q and len(z[c]) == len(z[q]))[:7]
-            want[q] = {i + 1: (c, -s) for i, (s, c) in enumerate(best)}
-    assert got == want
+    rows += [(i, rows[i][1]) for i in (7, 20, 40)] + [(20, rows[3][1]), (500, None), (520, [float("inf")] * 16), (540, [0.1] * 3), (560, [0.2] * 3), (561, [0.3] * 3), (None, rows[0][1]), (580, []), (600, [0.5, None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as row", "2 as x", "3 as id")
+    z = [(n, i, np.floor(64 * np.array(v)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for n, i, q in z:
+        if i % 20 == 0:
+            best = sorted((-int(q @ x), c) for m, c, x in z if m != n and len(x) == len(q))[:7]
+            want += [(i, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    for slice_ in (512, 3):
+        monkeypatch.setattr(topk, "SLICE", slice_)
+        assert sorted(tuple(r) for r in topk.top_k(df, "vec_id % 20 = 0", k=7).collect()) == sorted(want)
     assert topk.top_k(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
-@pytest.mark.parametrize("segments", [1, 2, 5, 16])
-def test_bounds_hold(segments):
+@pytest.mark.parametrize("level", [0, 1, 2, 5, 15, 16, 40])
+def test_bounds_hold(level):
     rng = np.random.default_rng(5)
     q, x = rng.standard_normal((20, 16)), rng.standard_normal((30, 16))
-    assert (topk._statistics(q, segments) @ topk._statistics(x, segments).T >= q @ x.T - 1e-9).all()
+    turn = topk.axes(x)
+    assert (topk.statistics(q @ turn, level) @ topk.statistics(x @ turn, level).T >= q @ x.T - 1e-9).all()
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.2, 1.0])
+def test_bounds_leave_few_rows_to_score(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    centres = 40 * rng.standard_normal((40, 64))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + 6 * rng.standard_normal((4000, 64)))
+    q, row = x[::20], np.arange(4000)
+    known = topk.scout(row[::20], q, row, x, 20)
+    reach = np.array([np.sort(known[1][known[0] == r])[-20] for r in row[::20]])
+    (at, ids, score), counted = topk.search(row[::20], q, reach, row, row, x, 20)
+    assert counted[0] == 200 * 3999 and counted[-1] < 0.05 * counted[0] and (np.diff(counted) <= 0).all()
+    exact = q @ x.T
+    for i in range(200):
+        order = sorted((-exact[i, j], j) for j in range(4000) if j != 20 * i)[:20]
+        assert [(int(c), int(s)) for c, s in zip(ids[at == i], score[at == i])] == [(j, int(-s)) for s, j in order]
 
 
 def jaccard(a, b):
