@@ -63,11 +63,10 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewell.llm.masked_lm import learn, score
+    from tracewell.llm.masked_lm import learn, score, tokenised
 
-    _small_batches(spark)
-    docs = read_table(spark, sf_dir, "documents")
-    return score(docs, learn(docs))
+    tokens = tokenised(read_table(spark, sf_dir, "documents"))
+    return score(tokens, learn(tokens))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
