@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import byte_bpe, language_id, mixing, near_copies, private_data
-from tracewell.runtime import materialize, read_table, ship
+from tracewell.runtime import free_names, materialize, read_table, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,8 +24,8 @@ def _small_batches(spark: SparkSession) -> None:
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject."""
     _small_batches(spark)
-    names = docs.columns
-    return language_id.identify(docs).where(~F.col("lang_rejected")).select(*names)
+    *_, rejected = free_names(docs, "lang_pred", "lang_score", "lang_rejected")
+    return language_id.identify(docs).where(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

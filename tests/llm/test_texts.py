@@ -197,6 +197,9 @@ def test_language_id(spark):
     none = language_id.identify(docs.where("doc_id >= 1000 and lang is null"))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     assert language_id.identify(docs.limit(0)).count() == 0
+    clash = language_id.identify(docs.selectExpr("doc_id", "text", "lang", "1 as lang_pred", "'x' as LANG_REJECTED"))
+    assert clash.columns == ["doc_id", "text", "lang", "lang_pred", "LANG_REJECTED", "lang_pred_", "lang_score", "lang_rejected_"]
+    assert {r["doc_id"]: r["lang_pred_"] for r in clash.collect()} == {i: r["lang_pred"] for i, r in got.items()}
 
 
 def test_every_label_gets_texts(spark):
@@ -261,8 +264,66 @@ def test_mixing(spark):
         assert abs(sum(taken) - target) <= max(1, 0.002 * size)
     mixed = mixing.mix(docs)
     assert mixed.columns == [*docs.columns, "shard", "position"]
-    assert mixed.count() == sum(len(r["shards"]) for r in got.values())
-    assert mixing.draws(docs.limit(0)).count() == 0
+    rows = mixed.collect()
+    assert sorted((r["doc_id"], r["shard"]) for r in rows) == sorted((i, k) for i, r in got.items() for k in r["shards"])
+    assert mixing.draws(docs.limit(0)).count() == mixing.mix(docs.limit(0)).count() == 0
+    # a shard's rows stand together, in the order of their positions as unsigned numbers
+    per = {}
+    for part in mixed.rdd.glom().collect():
+        for r in part:
+            per.setdefault(r["shard"], []).append(r["position"] % 2**64)
+    assert all(v == sorted(v) for v in per.values()) and len(per) > 5
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 20), f"s{i % 3}") for i in range(2000)], "doc_id long, text string, source string")
+    whole = {r["doc_id"]: r["shards"] for r in mixing.draws(docs).collect()}
+    tree = mixing.splitting_tree
+    seen = []
+
+    def fewer(blocks, shards, seed=17):
+        out = tree(blocks, shards, seed)
+        seen.append(out.copy())
+        out[5:] = 0
+        return out
+
+    monkeypatch.setattr(mixing, "splitting_tree", fewer)
+    part = {r["doc_id"]: r["shards"] for r in mixing.draws(docs).collect()}
+    assert all(p == [k for k in whole[i] if k < 5] for i, p in part.items()) and any(whole[i] != p for i, p in part.items())
+    # by hand: a document has the shards in whose leaves its block's draws lie
+    p, rows = mixing.plan(docs)
+    info = {r["s"]: r for r in p.sources.collect()}
+    ends = np.cumsum(seen[-1], axis=0)
+    for r in rows.collect():
+        x = info[r["s"]]
+        b = r["h"] // -(-mixing.SPAN // x["blocks"])
+        i = sorted(info).index(r["s"])
+        chosen = r["h"] <= x["cut"] or r["h"] in x["extra"] or any(r["size"] <= m["most"] and r["h"] <= m["upto"] for m in x["more"])
+        times = x["passes"] + (chosen and x["passes"] < mixing.CAP)
+        assert whole[r["doc_id"]] == ([int(np.searchsorted(ends[:, i], k * x["blocks"] + b, side="right")) for k in range(times)] if r["size"] else [])
+
+
+def test_mixing_rows_that_share_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i % 200 if i % 3 else None, "w " * int(rng.integers(0, 60)), f"s{i // 200}", "a", 1, "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, copy int, position string")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "shard_", "position_"]
+    again = mixing.mix(docs.repartition(5))
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, again.collect()))
+    count = lambda rows: {k: sum((r["doc_id"], r["text"], r["source"]) == k for r in rows) for k in {(r["doc_id"], r["text"], r["source"]) for r in rows}}
+    want = {}
+    taken = mixing.draws(docs.withColumn("source", docs["source"])).collect()
+    for r in taken:
+        want[(r["doc_id"], r["size"], r["s"])] = want.get((r["doc_id"], r["size"], r["s"]), 0) + len(r["shards"])
+    got = {}
+    for (i, t, s), n in count(mixed.collect()).items():
+        k = (i, len(t.split()), s)
+        got[k] = got.get(k, 0) + n
+    assert got == {k: n for k, n in want.items() if n}
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in taken if r["s"] == s]
+        assert 0 <= own[0]["target"] - sum(r["size"] * len(r["shards"]) for r in own) < 0.5 * own[0]["source_size"]
 
 
 def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
@@ -309,53 +370,99 @@ def test_boosted_trees_learn(spark):
 
 def test_masked_model(spark):
     rng = np.random.default_rng(5)
-    pairs = [("red", "apple"), ("blue", "sky"), ("green", "leaf")]
+    pairs = [("red", "Apple"), ("blue", "sky"), ("green", "leaf")]
     texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 3, 60)) for _ in range(200)]
-    rows = [*enumerate(texts), (500, None), (501, ""), (502, "red sky blue leaf green apple " * 10)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = masked_lm.learn(docs, rounds=6)
-    got = {r["doc_id"]: r for r in masked_lm.score(docs, model).collect()}
+    rows = [*enumerate(texts), (500, None), (501, " \n"), (502, "red sky blue leaf green apple " * 10), (None, texts[0]), (0, texts[0])]
+    tokens = masked_lm.tokenised(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as at", "'x' as ids"))
+    model = masked_lm.learn(tokens, rounds=6)
+    found = masked_lm.score(tokens, model).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows) and got[None]["pll"] == pytest.approx(got[0]["pll"])
     assert got[0]["n_tokens"] == 120 and got[0]["perplexity"] < got[502]["perplexity"]
     assert (got[500]["n_tokens"], got[500]["pll"], got[500]["perplexity"]) == (0, 0.0, None) == (got[501]["n_tokens"], got[501]["pll"], got[501]["perplexity"])
     # brute force: the probabilities of all tokens in a window sum to one
     context = np.repeat(np.array([[masked_lm.EDGE, 0, 1, 2]]), masked_lm.EDGE, 0)
     assert np.exp(model.log_probability(context, np.arange(masked_lm.EDGE))).sum() == pytest.approx(1, abs=1e-3)
-    ids = np.concatenate([[masked_lm.EDGE] * 2, model.tokens(texts[0]), [masked_lm.EDGE] * 2])
+    ids = np.concatenate([[masked_lm.EDGE] * 2, model.tokens(texts[0]), [masked_lm.EDGE] * 2]).astype(int)
     by_hand = sum(model.log_probability(np.array([[ids[i + j] for j in masked_lm.WINDOW]]), ids[i : i + 1])[0] for i in range(2, len(ids) - 2))
     assert got[0]["pll"] == pytest.approx(by_hand, rel=1e-4)
+    none = masked_lm.tokenised(spark.createDataFrame([], "doc_id long, text string"))
+    assert masked_lm.score(none, masked_lm.learn(none)).count() == 0
+    assert {r["n_tokens"] for r in masked_lm.score(tokens, masked_lm.learn(none)).collect()} == {0, 60, 120}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="aB\u00e9\u0130 \n\x0b\x1f\u00a0\u2003", max_size=60), st.integers(1, 9))
+def test_words_are_cut_at_blanks_only(text, cut):
+    assert [w for part in masked_lm.words_of(text, cut) for w in part] == text.lower().encode().split()
+
+
+def test_step_descends_as_by_hand():
+    """The gradient of a step's loss by differences, through the first, still plain step of Adagrad."""
+    rng = np.random.default_rng(3)
+    words = masked_lm.Vocabulary(np.arange(1, masked_lm.WORDS + 1, dtype=np.uint64), rng.integers(1, 50, masked_lm.EDGE).astype(float), np.ones(masked_lm.BUCKETS))
+    context, target = rng.integers(0, 60, (200, 4)), rng.integers(0, 200, 200)
+    loss = lambda m: -m.log_probability(context, target).astype(np.float64).sum()
+    model, moved = masked_lm.Network(words), masked_lm.Network(words)
+    moved.step(context, target, 0.1)
+    for parameter in range(5):
+        a, b = model.parameters()[parameter], moved.parameters()[parameter]
+        at = np.unravel_index(np.argmax(np.abs(a - b)), a.shape)
+        slopes = []
+        for e in (1e-2, -1e-2):
+            other = masked_lm.Network(words)
+            other.parameters()[parameter][at] += e
+            slopes.append(loss(other))
+        assert np.sign(slopes[0] - slopes[1]) == np.sign(a[at] - b[at])
+    assert loss(moved) < loss(model)
 
 
 def test_masked_model_fits_every_token_whatever_the_partitions(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(rng.choice(["a", "b", "c", "d"], rng.integers(0, 9)))) for i in range(300)] + [(900, " ".join(["long", "text"] * 700)), (901, None)]
-    monkeypatch.setattr(masked_lm, "PIECE", 64)
-    monkeypatch.setattr(masked_lm, "COPY", 500)
+    for name, value in (("PIECE", 64), ("COPY", 500), ("CHUNK", 100)):
+        monkeypatch.setattr(masked_lm, name, value)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    words, counts = masked_lm.word_counts(docs)[:2]
+    tokens = masked_lm.tokenised(docs)
+    assert tokens.count() > 8
+    words = masked_lm.vocabulary(tokens)
     total = sum(len((t or "").split()) for _, t in rows)
-    model = masked_lm.Network(words, counts)
-    pieces = [r["ids"] for r in masked_lm.dealt(docs, model, 5).collect()]
+    assert words.n.sum() == total
+    model = masked_lm.Network(words)
+    pieces = [r["ids"] for r in masked_lm.dealt(tokens, words, 5).collect()]
     assert model.train(pieces) == total == sum(len(p) // 2 - 4 for p in pieces)
-    one, many = (masked_lm.learn(docs.repartition(n)).flat() for n in (1, 40))
+    one, many = (masked_lm.learn(masked_lm.tokenised(docs.repartition(n))).flat() for n in (1, 40))
     assert np.abs(one - many).max() < 1e-5
 
 
-def test_rare_words_have_their_share_of_a_class(spark):
+def test_rare_words_have_their_share_of_a_class(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "LEAST_PARCELS", 5)
     common = " ".join(f"v{i}" for i in range(masked_lm.WORDS))
     texts = [common, common, common + " often often", " ".join(f"w{i}" for i in range(2000)), None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = masked_lm.learn(docs)
-    share = {r["w"]: np.exp(r["lp"]) for r in model.rare.collect()}
-    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.BUCKETS
-    assert len(share) == 2001 and share["often"] > 2 * max(v for k, v in share.items() if k != "often" and bucket(k) == bucket("often"))
-    for b in range(masked_lm.BUCKETS):
-        seen = [v for k, v in share.items() if bucket(k) == b]
-        assert sum(seen) + masked_lm.UNSEEN * (len(seen) + 1) * np.exp(model.unseen[b]) == pytest.approx(1)
-    new = next(w for w in (f"zz{i}" for i in range(10**6)) if bucket(w) == bucket("often"))
-    asked = spark.createDataFrame([(1, "v1 often v2"), (1, "v1 often v2"), (2, f"v1 {new} v2")], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["pll"]) for r in masked_lm.score(asked, model).collect())
-    classes = model.scores(["v1 often v2"])[1][0]
-    assert [p for _, p in got] == pytest.approx([classes + np.log(share["often"])] * 2 + [classes + model.unseen[bucket("often")]])
+    tokens = masked_lm.tokenised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = masked_lm.learn(tokens)
+    words = model.vocabulary
+    seen = {f"w{i}": 1 for i in range(2000)} | {"often": 2}
+    assert (words.classes(masked_lm.hashes([w.encode() for w in seen])) >= masked_lm.WORDS).all() and words.kinds.sum() == 2001
+    table = {}
+    for r in words.table.collect():
+        table |= zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["n"], np.int64).tolist())
+    assert len(table) == masked_lm.WORDS + 2001 and all(table[int(masked_lm.hashes([w.encode()])[0])] == n for w, n in seen.items())
+    share, new = {}, {}
+    for w, n in seen.items():
+        h = masked_lm.hashes([w.encode()])
+        c = int(words.classes(h)[0])
+        share.setdefault(c, {})[w] = float(np.exp(words.within(h, np.array([n]))[0]))
+        new[c] = float(np.exp(words.within(h, np.array([0]))[0]))
+    for c, own in share.items():
+        assert sum(own.values()) + masked_lm.UNSEEN * (len(own) + 1) * new[c] == pytest.approx(1)
+    c = int(words.classes(masked_lm.hashes([b"often"]))[0])
+    assert share[c]["often"] > 2 * max(v for w, v in share[c].items() if w != "often")
+    strange = next(w for w in (f"zz{i}" for i in range(10**6)) if int(words.classes(masked_lm.hashes([w.encode()]))[0]) == c)
+    asked = spark.createDataFrame([(1, "v1 often v2"), (1, "v1 often v2"), (2, f"v1 {strange} v2")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["pll"]) for r in masked_lm.score(masked_lm.tokenised(asked), model).collect())
+    classes = model.scores(model.tokens("v1 often v2"), np.array([3]))[0]
+    assert [p for _, p in got] == pytest.approx([classes + np.log(share[c]["often"])] * 2 + [classes + np.log(new[c])], rel=1e-5)
 
 
 def test_pipeline_stages(spark):

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.runtime import free_names
+
 ORDER = 4
 DISCOUNT = 0.75
 #: Characters that an unseen character is taken to be one of.
@@ -272,22 +274,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with lang_pred, lang_score, lang_rejected (names it must not have yet).
+    """docs with lang_pred, lang_score and lang_rejected; where docs has a column of
+    such a name, the new one's gets an underscore behind (see runtime.free_names).
 
     Learns from docs' own labels unless a model is given. Null texts and texts
     without a letter are `und`, score 0, rejected; so is everything where no
-    label can be learned. Repeated rows are judged each; columns stay.
+    label can be learned. Repeated rows are judged each; very long texts are judged
+    in slices; an empty table gives no rows; columns stay.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or learn(docs, id_col, text_col, lang_col))  # one row of floats per n-gram of a bounded sample
-    names = docs.columns
-    at = names.index(text_col)
+    new = free_names(docs, "lang_pred", "lang_score", "lang_rejected")
+    names = [*docs.columns, *new]
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             language, score, rejected, _ = m.judge(b.column(at).to_pylist())
-            yield pa.record_batch([*b.columns, pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.record_batch([*b.columns, pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
-    schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)}).schema
+    schema = docs.withColumns(dict(zip(new, (F.lit(""), F.lit(0.0), F.lit(True))))).schema
     return docs.mapInArrow(run, schema)
