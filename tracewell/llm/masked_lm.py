@@ -90,8 +90,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
 
     ids, at, n, parts, index, held = [], [], [], [], defaultdict(count().__next__), 0
     for b in batches:
-        for number, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            own = [np.fromiter(map(index.__getitem__, w), np.uint32, len(w)) for w in words_of(text)]
+        for number, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            own = [np.fromiter(map(index.__getitem__, w), np.uint32, len(w)) for w in words_of(text.as_py())]
             size = sum(map(len, own))
             ids.append(number)
             at.append(mark)
