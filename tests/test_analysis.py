@@ -1,10 +1,14 @@
 """The chain from files to the final list, on small projects of our own."""
 
+import dataclasses
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell import schema as S
 from tracewell.operators import edges, graph, loads, names, styles
-from tracewell.operators.workflow import Review, log_links, queue
+from tracewell.operators.workflow import Review, handed, log_links, queue
 from tracewell.plans import analysis
 from tracewell.sources import scans
 
@@ -94,7 +98,7 @@ def test_review_to_final_list(spark, project, found, tmp_path):
     review = Review(spark, str(tmp_path), project.statements, entries, d["demoted"])
     with pytest.raises(scans.Refused):
         review.walk()
-    review.fill(d["links"])
+    review.fill(d["links"], d["graphs"], project.manifest)
     with pytest.raises(scans.Refused):
         review.fill(d["links"])
     states = {r["id"]: r["machine_state"] for r in review.walk().collect()}
@@ -105,10 +109,11 @@ def test_review_to_final_list(spark, project, found, tmp_path):
     assert states[at("web/card.module.css", ".gone")] == "unsupported"
     assert review.next() is None  # every live entry is walked
     with pytest.raises(scans.Refused):
-        analysis.final_list(project, review, scans.tree(spark, project.root), 10**6)
-    dry = review.sweep(dry=True)
+        analysis.final_list(project, review, scans.tree(spark, project.root), 10**6, d["links"])
+    cases = lambda df: sorted(r["id"] for r in df.collect())
+    dry = cases(review.sweep(dry=True))
     assert at("core/b.ts", "function never") in dry and review.unresolved().count() == 0
-    assert review.sweep() == dry
+    assert cases(review.sweep()) == dry
     title = at("web/card.module.css", ".title")
     review.resolve(title, inputs=[at("web/main.tsx", "export default")])
     with pytest.raises(scans.Refused):
@@ -119,7 +124,22 @@ def test_review_to_final_list(spark, project, found, tmp_path):
     review._append([("reopen", i, None, "none") for i in rest])
     end = review.finish()
     assert end["done"], end["left"]
-    rows, text = analysis.final_list(project, review, scans.tree(spark, project.root), 10**6)
+    rules = lambda p=project, n=10**6, links=d["links"]: {r["rule"] for r in analysis.violations(p, review, n, links).collect()}
+    assert rules() == set()
+    # each rule refuses
+    other = dataclasses.replace
+    assert rules(other(project, snapshot=project.snapshot.withColumn("content", F.when(F.col("path") == "web/setup.ts", F.lit(b"x\n")).otherwise(F.col("content"))))) == {"snapshot"}
+    assert rules(other(project, manifest=project.manifest.where("path <> 'web/setup.ts'"))) == {"snapshot", "fill-sums"}
+    assert rules(other(project, errors=spark.createDataFrame([("x.py", "odd")], "file string, reason string"))) == {"unsplit"}
+    assert rules(n=3) == {"reading"}
+    assert rules(links=d["links"].limit(3)) == {"fill-sums"}
+    spark.createDataFrame([(10**6, title, [1], [2])], "seq long, id long, inputs array<long>, outputs array<long>").write.mode("append").parquet(f"{tmp_path}/columns")
+    assert rules() == {"columns"}
+    shutil.rmtree(f"{tmp_path}/columns")
+    review._rebuild()
+    assert rules() == set()
+    rows, text = analysis.final_list(project, review, scans.tree(spark, project.root), 10**6, d["links"])
+    text = "\n".join(r["value"] for r in text.orderBy("part", "key", "value").collect())
     got = {r["id"]: r for r in rows.collect()}
     assert at("py/app/two.py", "def unused") in got and title not in got
     assert got[at("core/b.ts", "function never")]["live_file"] == "same"
@@ -129,6 +149,56 @@ def test_review_to_final_list(spark, project, found, tmp_path):
     review.reset(confirm=True)
     assert log_links(review.log()).where("origin = 'machine'").count() == 0
     assert review.states().where("visited_by = 'machine'").count() == 0
+    # what an older fill and walk left does not count
+    assert {"machine-phase", "fill-sums", "entry-unvisited"} <= rules()
+    stored = {r["id"]: r["inputs"] for r in review.columns().collect()}
+    assert stored[at("core/b.ts", "function helper")] is None and stored[title] == [at("web/main.tsx", "export default")]
+
+
+def test_a_list_of_call_links_only_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a.py", i, i, f"f{i}()") for i in range(1, 6)], "id long, file string, first_line int, last_line int, text string")
+    review = Review(spark, str(tmp_path), rows, spark.createDataFrame([(1,)], "id long"))
+    links = spark.createDataFrame([(1, 2, "CALL"), (3, 4, "CALL")], "source long, target long, kind string")
+    content = spark.createDataFrame([("a.py", b"1\n2\n3\n4\n5\n")], "path string, content binary").withColumn("sha256", F.sha2("content", 256))
+    none = spark.createDataFrame([], "file string, reason string")
+    project = analysis.Project(content, content.select("path", "sha256"), none, none, rows, none, none, content)
+    rules = lambda: sorted((r["rule"], r["detail"]) for r in analysis.violations(project, review, 5, links).collect())
+    review.fill(links, manifest=project.manifest)
+    assert ("machine-phase", "walk") in rules()
+    review.walk()
+    assert [x for x in rules() if x[0] == "graph-absent"] == [("graph-absent", "3"), ("graph-absent", "4")]
+    for i in (3, 4, 5):
+        review._append([("unsure", i, None, "")])
+    assert [x for x in rules() if x[0] == "graph-absent"] == []
+    review.reset(True)
+    review.fill(links, ["LOADS", "USES"], project.manifest)
+    review.walk()
+    assert not {"graph-absent", "machine-phase", "fill-sums", "columns"} & {r for r, _ in rules()}
+
+
+def test_an_open_round_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a.py") for i in (1, 2)], "id long, file string")
+    review = Review(spark, str(tmp_path), rows, spark.createDataFrame([(1,), (2,)], "id long"))
+    open_ = lambda: [r["id"] for r in handed(review.log(), review.states()).collect()]
+    assert open_() == [] and review.next() == 1 and open_() == [1]
+    review.record(1)
+    assert open_() == []
+
+
+def test_saved_tables_are_guarded(spark, project, tmp_path):
+    meta = lambda *rows: spark.createDataFrame(list(rows), "created_by string, schema_version int")
+    rules = lambda df: sorted(r["rule"] for r in scans.guard(df).collect())
+    assert rules(meta(("tracewell", S.VERSION))) == [] and rules(meta()) == ["meta-rows"]
+    assert rules(meta(("other", 1))) == ["created-by", "schema-version"]
+    analysis.save(project, str(tmp_path), entries=project.statements.select("id").limit(1))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        analysis.save(project, str(tmp_path))
+    twice = dataclasses.replace(project, statements=project.statements.unionByName(project.statements))
+    with pytest.raises(scans.Refused):
+        analysis.save(twice, str(tmp_path / "b"))
+    with pytest.raises(scans.Refused):
+        analysis.save(project, str(tmp_path / "c"), entries=spark.createDataFrame([(10**9,)], "id long"))
+
 
 
 def test_traversal(spark, tmp_path):
@@ -177,17 +247,29 @@ def test_import_cycles_and_precedence(spark):
         (6, "u.ts", "go(x, y);"),
     ]
     n = names.Names(spark.createDataFrame(rows, "id long, file string, text string"))
-    links = {(r["source"], r["target"]) for r in n.use_links(spark.createDataFrame([(1,)], "id long"), settings=None).collect()}
+    links = {(r["source"], r["target"]) for r in n.use_links(spark.createDataFrame([(1,)], "id long")).collect()}
     assert {(6, 5), (6, 4), (6, 1), (6, 3), (1, 4)} <= links and (6, 2) not in links
 
 
 def test_settings_names(spark):
     rows = [(1, "backend/config/settings.py", "LIMIT = 3"), (2, "x.py", "y = settings.LIMIT"), (3, "x.py", 'z = get("LIMIT")'), (4, "x.py", "LIMITED = 1")]
     n = names.Names(spark.createDataFrame(rows, "id long, file string, text string"))
-    got = {(r["source"], r["target"]) for r in n.use_links(spark.createDataFrame([], "id long")).collect()}
+    got = {(r["source"], r["target"]) for r in n.use_links(spark.createDataFrame([], "id long"), settings="backend/config/settings.py").collect()}
     assert got == {(2, 1), (3, 1)}
 
 
+def test_guessed_folders(spark):
+    files = spark.createDataFrame([("web/lib/a.ts",), ("app/lib/a.tsx",), ("app/lib/b/index.js",), ("lib/c.ts",)], "file string")
+    asked = spark.createDataFrame([(1, "web/x.ts", "@/lib/a"), (2, "web/x.ts", "~/lib/b"), (3, "web/x.ts", "lib/a"), (4, "web/x.ts", "#s/lib/a.js"), (5, "web/x.ts", "@/lib/c"), (1, "web/x.ts", "@/lib/a")], "id long, file string, written string")
+    got = sorted((r["id"], r["verdict"], r["target"]) for r in loads.resolved(asked, files).collect())
+    a = [(1, "resolved", "app/lib/a.tsx"), (1, "resolved", "web/lib/a.ts")]
+    assert got == sorted([*a, *a, (2, "resolved", "app/lib/b/index.js"), (3, "outside", None), (4, "resolved", "app/lib/a.tsx"), (4, "resolved", "web/lib/a.ts"), (5, "outside", None)])
+    first = loads.resolved(asked, files).groupBy("id").agg(F.min_by("target", "priority").alias("t")).collect()
+    assert {r["id"]: r["t"] for r in first}[1] == "app/lib/a.tsx"
+    stated = loads.resolved(asked, files, [("@/", "web/")]).where("id in (1, 5)").distinct()
+    assert sorted((r["id"], r["target"]) for r in stated.collect() if r["target"]) == [(1, "web/lib/a.ts")]
+
+
 def test_ambiguous_module(spark):
     files = spark.createDataFrame([("a/m.py",), ("b/m.py",), ("c/n.py",)], "file string")
     asked = spark.createDataFrame([(1, "x.py", "m"), (2, "x.py", "a.m"), (3, "c/y.py", ".n"), (4, "x.py", "os")], "id long, file string, written string")
@@ -217,7 +299,10 @@ def test_scans(spark):
     assert [(r["id"], r["text"]) for r in rows.orderBy("id").collect()] == [(1, "x | y"), (2, "")] and bad.count() == 1
     got = {r["id"]: r["body"] for r in scans.sections(lines("## Statement 4", "why", "## Statement 5 - x", "", "## Statement 41x", "n", "## Other", "m")).collect()}
     assert got == {4: "why"}
-    raw = spark.createDataFrame([("CALL\ta.py\t1\tb.py\t2", "g"), ("x\ty\tz", "g")], "value string, graph string")
+    raw = spark.createDataFrame([("CALL\ta.py\t1\tb.py\t2", "g"), ("x\ty\tz", "g"), ("CALL\ta.py\tq\tb.py\t", "g"), ("REF\ta.py\t\t\t", "g")], "value string, graph string")
+    raw = raw.unionByName(spark.createDataFrame([(b"CALL\t\xff\t1\tb\t2", "g")], "v binary, graph string").selectExpr("cast(v as string) as value", "graph"))
     rows, bad = scans.edge_rows(raw)
-    assert rows.count() == 1 and bad.count() == 1
+    assert sorted((r["kind"], r["from_line"]) for r in rows.collect()) == [("CALL", 1), ("REF", None)]
+    assert sorted(r["rule"] for r in bad.collect()) == ["edge-columns", "edge-line", "edge-utf8"]
+    assert [r["detail"] for r in edges.refs_without_record(rows, None).collect()] == ["g"] and edges.refs_without_record(rows, rows).count() == 0
     assert scans.contained("/tmp", "a/../b") and not scans.contained("/tmp", "../etc")

@@ -51,13 +51,27 @@ def nothing_open(queued: DataFrame, handed: DataFrame) -> DataFrame:
     return all_of(violation(queued, "queued", F.col("id")), violation(handed, "open-round", F.col("id")))
 
 
-def machine_done(states: DataFrame, phases: list[str], graphs: list[str]) -> DataFrame:
-    """V6: filled and walked; where the load or name graph is absent nothing unvisited may be `unreached`."""
-    wanted = states.sparkSession.createDataFrame([(p,) for p in ("fill", "walk") if p not in phases], "phase string")
-    parts = violation(wanted, "machine-phase", F.col("phase"))
-    if {"LOADS", "USES"} <= set(graphs):
-        return parts
-    return parts.unionByName(violation(states.where("not visited and machine_state = 'unreached'"), "graph-absent", F.col("id")))
+def machine_done(states: DataFrame, events: DataFrame) -> DataFrame:
+    """V6: filled and walked since the last reset, by events(type, text); where the load or the name
+    graph was absent at the fill nothing unvisited may be `unreached`."""
+    there = events.agg(F.count_if(F.col("type") == "fill").alias("fill"), F.count_if(F.col("type") == "state").alias("walk"), F.countDistinct(F.when((F.col("type") == "graph") & F.col("text").isin("LOADS", "USES"), F.col("text"))).alias("graphs"))
+    phases = there.select(F.explode(F.array(*[F.when(F.col(p) == 0, F.lit(p)) for p in ("fill", "walk")])).alias("phase")).where("phase is not null")
+    stranded = states.where("not visited and machine_state = 'unreached'").join(F.broadcast(there.where("graphs < 2").select("graphs")))  # one row or none
+    return violation(phases, "machine-phase", F.col("phase")).unionByName(violation(stranded, "graph-absent", F.col("id")))
+
+
+def link_sums(links: DataFrame) -> DataFrame:
+    """(path, sha256): for each kind of links(source, target, kind) a sum of its distinct links, whatever their order."""
+    each = links.select("source", "target", "kind").distinct()
+    parts = [F.count("*"), F.bit_xor(F.xxhash64("source", "target")), F.bit_xor(F.xxhash64("target", "source"))]
+    said = F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")
+    return each.groupBy("kind").agg(F.sha2(said, 256).alias("sha256")).select(F.concat(F.lit("links/"), "kind").alias("path"), "sha256")
+
+
+def manifest_sum(manifest: DataFrame) -> DataFrame:
+    """(path, sha256): one sum of all of manifest(path, sha256)."""
+    parts = [F.count("*"), F.bit_xor(F.xxhash64("path", "sha256")), F.bit_xor(F.xxhash64("sha256", "path"))]
+    return manifest.agg(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"), 256).alias("sha256")).select(F.lit("manifest").alias("path"), "sha256")
 
 
 def sums_equal(stored: DataFrame, now: DataFrame) -> DataFrame:
@@ -85,3 +99,13 @@ def lines_inside(candidates: DataFrame, line_counts: DataFrame) -> DataFrame:
     """candidates' lines exist in the snapshot's files."""
     rows = candidates.join(line_counts.select("file", "lines"), "file", "left")
     return violation(rows.where("lines is null or first_line < 1 or last_line > lines or first_line > last_line"), "address", F.col("id"))
+
+
+def consistent(statements: DataFrame, selectors: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Statement ids are there once, and entries and selectors name statements."""
+    parts = [violation(statements.groupBy("id").count().where("count > 1"), "statement-twice", F.col("id"))]
+    own = selectors.select(F.col("statement_id").alias("id")).distinct()
+    parts.append(violation(own.join(statements, "id", "left_anti"), "selector-unknown", F.col("id")))
+    if entries is not None:
+        parts.append(violation(entries.join(statements, "id", "left_anti"), "entry-unknown", F.col("id")))
+    return all_of(*parts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import schema as S
+from tracewell.sources.scans import violation
 
 
 def floor_join(lookups: DataFrame, spans: DataFrame, key: str, at: str, first: str, last: str, number: str) -> DataFrame:
@@ -65,6 +66,28 @@ def counters(merged: DataFrame) -> DataFrame:
     return merged.groupBy("kind", "outcome").agg(F.count("*").alias("edges"))
 
 
+def repeats(merged: DataFrame) -> DataFrame:
+    """T3 (kind, links, repeats): distinct links of each kind, and the edges beyond the first of each."""
+    found = merged.where("outcome = 'between two'").groupBy("kind", "source", "target").agg(F.count("*").alias("n"))
+    return found.groupBy("kind").agg(F.count("*").alias("links"), (F.sum("n") - F.count("*")).alias("repeats"))
+
+
+def per_producer(**producers: DataFrame) -> DataFrame:
+    """A6 (producer, rows, links): rows and distinct links of each producer's (source, target, kind)."""
+    out = None
+    for name, links in producers.items():
+        one = links.select(F.lit(name).alias("producer"), "source", "target", "kind")
+        out = one if out is None else out.unionByName(one)
+    each = out.groupBy("producer", "source", "target", "kind").agg(F.count("*").alias("n"))
+    return each.groupBy("producer").agg(F.sum("n").alias("rows"), F.count("*").alias("links"))
+
+
+def refs_without_record(edges: DataFrame, defined: DataFrame | None) -> DataFrame:
+    """REF edges need a record of defined names; without one, each graph that has them is a violation."""
+    graphs = edges.where("kind = 'REF'").select("graph").distinct()
+    return violation(graphs if defined is None else graphs.where("false"), "names-absent", F.col("graph"))
+
+
 def kind_table(merged: DataFrame) -> DataFrame:
     """Per kind: edges by outcome, the most links first."""
     wide = merged.groupBy("kind").agg(*[F.count_if(F.col("outcome") == o).alias(o.replace(" ", "_")) for o in ("no address", "outside the statements", "inside one statement", "structural", "reference to a local", "between two")])

@@ -9,17 +9,21 @@ from tracewell import schema as S
 from tracewell.functions import columns as C
 from tracewell.runtime import materialize, release
 
+#: Hops that one round takes.
+STEPS = 4
 #: Rounds whose tables are kept apart before they are merged.
-MERGE = 16
+MERGE = 8
 
 
 def closure(entries: DataFrame, links: DataFrame, node: str = "id", source: str = "source", target: str = "target") -> DataFrame:
     """R1 (node, round): everything reached over links from entries, entries in round 0. Cycles are allowed.
 
-    The frontier only ever holds nodes that are new, so all rounds together
-    read each link once. Each round is one equi-join with the frontier, one
-    distinct and one anti join; frontiers are written to the shared folder,
-    which cuts the lineage. The known nodes are the union of the frontiers.
+    round is the number of links on the shortest way. A written round takes
+    STEPS hops from the nodes that the round before reached last: each hop is one
+    equi-join with the links, dealt once for all hops of a round, and one distinct; then
+    one anti join leaves the nodes that are new. Rounds are written to the shared folder, which
+    cuts the lineage. A round scans all links, so their number of rounds is what
+    long chains cost.
     """
     hop = links.select(F.col(source).alias("__s"), F.col(target).alias("__t")).where("__s is not null and __t is not null").distinct()
     hop = materialize(hop, "hops")
@@ -27,19 +31,29 @@ def closure(entries: DataFrame, links: DataFrame, node: str = "id", source: str
     tables, depth = [materialize(start, "reached")], 0
     front = tables[0]
     while True:
-        depth += 1
         known = tables[0]
         for t in tables[1:]:
             known = known.unionByName(t)
-        new = front.join(hop, F.col("n") == F.col("__s")).select(F.col("__t").alias("n")).distinct()
-        new = materialize(new.join(known.select("n"), "n", "left_anti").withColumn("round", F.lit(depth)), "reached")
-        if new.isEmpty():
+        at, steps = front.select("n"), []
+        for _ in range(STEPS):
+            depth += 1
+            at = at.join(hop, F.col("n") == F.col("__s")).select(F.col("__t").alias("n")).distinct()
+            steps.append(at.withColumn("round", F.lit(depth)))
+        new = steps[0]
+        for t in steps[1:]:
+            new = new.unionByName(t)
+        new = new.groupBy("n").agg(F.min("round").alias("round"))
+        new = materialize(new.join(known.select("n"), "n", "left_anti"), "reached")
+        last = new.agg(F.max("round")).first()[0]
+        if last is None:
             release(new)
             break
-        front = new
         tables.append(new)
-        if len(tables) > MERGE:  # one table instead of many; the frontier stays by itself
-            tables = [materialize(known, "reached"), new]
+        if last < depth:  # no node is that far
+            break
+        front = new.where(F.col("round") == depth)
+        if len(tables) > MERGE:
+            tables = [materialize(known.unionByName(new), "reached")]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

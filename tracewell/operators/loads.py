@@ -76,27 +76,33 @@ def python_candidates(written: Column, importer: Column) -> Column:
     return F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
 
 
-def script_candidates(written: Column, importer: Column, aliases: list[tuple[str, str]], roots: Column) -> Column:
-    """Paths that a script import can mean, in the order in which the first that exists wins.
+def _forms(base: Column) -> Column:
+    """The paths that a base path can mean, in the order in which the first that exists wins."""
+    twins = F.array(base)
+    for ext, others in TWINS.items():
+        stem = F.regexp_replace(base, rf"\{ext}$", "")
+        twins = F.when(base.endswith(ext), F.concat(F.array(base), F.array(*[F.concat(stem, F.lit(o)) for o in others]))).otherwise(twins)
+    return F.flatten(F.transform(twins, lambda b: F.array(*[F.concat(b, F.lit(s)) for s in SUFFIXES])))
 
-    Stated aliases are prefixes and suppress guesses; without one a specifier
-    whose first character is no letter or digit is tried below every top folder.
-    """
-    relative = F.array(C.joined_path(C.dirname(importer), written))
-    stated = F.array(*[F.when(written.startswith(a), F.concat(F.lit(d), F.substring(written, F.lit(len(a) + 1), F.length(written)))) for a, d in aliases]) if aliases else F.array().cast("array<string>")
-    stated = F.filter(stated, lambda b: b.isNotNull())
-    tail = F.regexp_extract(written, r"^[^/]*/(.*)$", 1)
-    guess = F.when(~written.rlike(r"^[\p{L}\p{N}]") & written.contains("/"), F.transform(roots, lambda r: F.concat(r, F.lit("/"), tail))).otherwise(F.array().cast("array<string>"))
-    bases = F.when(written.startswith("."), relative).when(F.size(stated) > 0, stated).otherwise(guess)
 
-    def twins(b: Column) -> Column:
-        more = F.array(b)
-        for ext, others in TWINS.items():
-            more = F.when(b.endswith(ext), F.concat(F.array(b), F.array(*[F.concat(F.regexp_replace(b, rf"\{ext}$", ""), F.lit(o)) for o in others]))).otherwise(more)
-        return more
+def _stated(written: Column, aliases: list[tuple[str, str]]) -> Column:
+    """The bases that stated aliases, which are prefixes, give."""
+    if not aliases:
+        return F.array().cast("array<string>")
+    bases = [F.when(written.startswith(a), F.concat(F.lit(d), F.substring(written, F.lit(len(a) + 1), F.length(written)))) for a, d in aliases]
+    return F.filter(F.array(*bases), lambda b: b.isNotNull())
+
+
+def script_candidates(written: Column, importer: Column, aliases: list[tuple[str, str]]) -> Column:
+    """Paths that a relative or aliased script import can mean, in order."""
+    bases = F.when(written.startswith("."), F.array(C.joined_path(C.dirname(importer), written))).otherwise(_stated(written, aliases))
+    return F.array_distinct(F.flatten(F.transform(bases, _forms)))
+
 
-    full = F.flatten(F.transform(bases, twins))
-    return F.array_distinct(F.flatten(F.transform(full, lambda b: F.array(*[F.concat(b, F.lit(s)) for s in SUFFIXES]))))
+def guessed_tails(written: Column, aliases: list[tuple[str, str]]) -> Column:
+    """What can stand below any top folder for a specifier that no alias states and that begins with no letter or digit."""
+    guess = ~written.startswith(".") & (F.size(_stated(written, aliases)) == 0) & ~written.rlike(r"^[\p{L}\p{N}]") & written.contains("/")
+    return F.when(guess, F.array_distinct(_forms(F.regexp_extract(written, r"^[^/]*/(.*)$", 1))))
 
 
 def path_candidates(written: Column, importer: Column, shell: bool) -> Column:
@@ -109,28 +115,30 @@ def resolved(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]
     """imports(file, written, ...) with target, priority and verdict, one row per target.
 
     verdict: resolved, ambiguous (several files carry the module's name) or
-    outside (no file); the latter two have one row without a target.
+    outside (no file); the latter two have one row without a target. priority orders
+    a row's targets: by top folder where folders are guessed, then by form.
     """
-    roots = files.where(F.col("file").contains("/")).select(F.collect_set(F.split("file", "/")[0]).alias("roots")).withColumn("roots", F.array_sort("roots"))
-    rows = imports.crossJoin(F.broadcast(roots)).withColumn("__row", F.xxhash64(*[F.col(c) for c in imports.columns]))  # one row of top folders
+    # a written row keeps its number
+    rows = materialize(imports.withColumn("__row", F.monotonically_increasing_id()), "asked")
     f, w = F.col("file"), F.col("written")
     paths = (
         F.when(C.has_ext(f, S.PY), F.when(w.startswith("."), python_candidates(w, f)))
-        .when(C.has_ext(f, S.SCRIPT), script_candidates(w, f, list(aliases), F.col("roots")))
+        .when(C.has_ext(f, S.SCRIPT), script_candidates(w, f, list(aliases)))
         .when(C.has_ext(f, S.STYLE), path_candidates(w, f, shell=False))
         .when(C.has_ext(f, S.SHELL), path_candidates(w, f, shell=True))
     )
-    rows = rows.withColumn("paths", paths).drop("roots")
     known = files.select(F.col("file").alias("target")).distinct()
-    by_path = rows.select("*", F.posexplode("paths").alias("priority", "target")).drop("paths").join(known, "target")
-    modules = module_index(files).withColumnRenamed("target", "one")
-    absolute = rows.where(C.has_ext(f, S.PY) & ~w.startswith(".")).drop("paths").join(modules, F.col("written") == F.col("module"))
-    by_module = absolute.withColumn("target", F.when(F.col("n") == 1, F.col("one"))).withColumn("priority", F.lit(0)).drop("module", "n", "one")
-    names = [*imports.columns, "__row", "priority", "target"]
-    hits = materialize(by_path.select(*names).unionByName(by_module.select(*names)), "hits")
-    out = hits.withColumn("verdict", F.when(F.col("target").isNull(), "ambiguous").otherwise("resolved"))
-    none = rows.drop("paths").join(hits.select("__row").distinct(), "__row", "left_anti").withColumns({"priority": F.lit(0), "target": F.lit(None).cast("string"), "verdict": F.lit("outside")})
-    return out.unionByName(none.select(*names, "verdict")).drop("__row")
+    place = lambda root: F.struct(root.alias("root"), F.col("at").alias("at")).alias("priority")
+    by_path = rows.select("__row", F.posexplode(paths).alias("at", "target")).join(known, "target").select("__row", place(F.lit("")), "target")
+    below = known.where(F.col("target").contains("/")).select("target", F.regexp_extract("target", "^[^/]*", 0).alias("root"), F.regexp_extract("target", "^[^/]*/(.*)$", 1).alias("tail"))
+    guessed = rows.where(C.has_ext(f, S.SCRIPT)).select("__row", F.posexplode(guessed_tails(w, list(aliases))).alias("at", "tail"))
+    by_tail = guessed.join(below, "tail").select("__row", place(F.col("root")), "target")
+    absolute = rows.where(C.has_ext(f, S.PY) & ~w.startswith(".")).select("__row", "written", F.lit(0).alias("at"))
+    modules = module_index(files).select(F.col("module").alias("written"), F.when(F.col("n") == 1, F.col("target")).alias("target"))
+    by_module = absolute.join(modules, "written").select("__row", place(F.lit("")), "target")
+    hits = by_path.unionByName(by_tail).unionByName(by_module).withColumn("hit", F.lit(True))
+    verdict = F.when(F.col("hit").isNull(), "outside").when(F.col("target").isNull(), "ambiguous").otherwise("resolved")
+    return rows.join(hits, "__row", "left").withColumn("verdict", verdict).select(*imports.columns, "priority", "target", "verdict")
 
 
 def unnamed_rules(statements: DataFrame, selectors: DataFrame) -> DataFrame:

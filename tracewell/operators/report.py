@@ -9,8 +9,15 @@ from tracewell.operators import graph
 from tracewell.operators.checks import file_changes
 from tracewell.sources.scans import supported
 
-#: Never-seen files that the report names.
-NAMED = 200
+#: How many files never seen, unresolved imports and live files without a reached statement are named.
+NAMED, NAMED_IMPORTS, NAMED_FILES = 200, 20, 10
+
+
+def named(df: DataFrame, by: str, most: int) -> DataFrame:
+    """O4 (name): the first `most` values of a column in order, and a line that counts the others if there are any."""
+    first = df.select(F.col(by).cast("string").alias("name")).orderBy("name").limit(most)
+    more = df.agg((F.count("*") - most).alias("n")).where("n > 0").select(F.concat(F.lit("and "), "n", F.lit(" more")).alias("name"))
+    return first.unionByName(more)
 
 
 def candidates(states: DataFrame, links: DataFrame, manifest: DataFrame, live: DataFrame) -> DataFrame:
@@ -29,17 +36,26 @@ def never_seen(live: DataFrame, manifest: DataFrame, register: DataFrame | None
     return supported(live.select("path")).join(known.distinct(), "path", "left_anti")
 
 
-def markdown(rows: DataFrame, texts: DataFrame, unsplit: DataFrame, quarantined: DataFrame, unseen: DataFrame, demoted: DataFrame) -> str:
-    """The list for people, a block per candidate; read row by row from the executors."""
-    out = ["# Statements that nothing reaches", ""]
-    for title, df, of in (("Unsplit files", unsplit, "file"), ("Quarantined files", quarantined, "file"), ("Demoted directives", demoted, "file")):
-        named = [r[of] for r in df.orderBy(of).toLocalIterator()]
-        if named:
-            out += [f"## {title}", "", *[f"- {n}" for n in named], ""]
-    n = unseen.count()
-    if n:
-        out += ["## Live files never seen", "", *[f"- {r['path']}" for r in unseen.orderBy("path").limit(NAMED).collect()]]
-        out += [f"- and {n - NAMED} more"] * (n > NAMED) + [""]
-    for r in rows.join(texts.select("id", "text"), "id").orderBy("id").toLocalIterator():
-        out += [f"## {r['id']}: {r['file']} {r['first_line']}-{r['last_line']}", "", f"machine: {r['machine_state']}; live file: {r['live_file']}; in: {r['inputs'] or '-'}; out: {r['outputs'] or '-'}", "", "    " + r["text"], ""]
-    return "\n".join(out)
+def markdown(rows: DataFrame, texts: DataFrame, unsplit: DataFrame, quarantined: DataFrame, unseen: DataFrame, demoted: DataFrame) -> DataFrame:
+    """W14 (part, key, value): the list for people as lines of text, a block per candidate, to be written in the order of part and key."""
+    parts = [rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("key"), F.lit("# Statements that nothing reaches\n").alias("value"))]
+    seen = named(unseen, "path", NAMED)
+    for i, (title, df, of) in enumerate((("Unsplit files", unsplit, "file"), ("Quarantined files", quarantined, "file"), ("Demoted directives", demoted, "file"), ("Live files never seen", seen, "name")), 1):
+        head = df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2 * i).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(f"## {title}\n").alias("value"))
+        parts += [head, df.select(F.lit(2 * i + 1).alias("part"), F.lit(0).cast("long").alias("key"), F.concat(F.lit("- "), of).alias("value"))]
+    each = rows.join(texts.select("id", "text"), "id")
+    dash = lambda c: F.when(F.col(c) == "", "-").otherwise(F.col(c))
+    block = F.concat(
+        F.lit("\n## "), "id", F.lit(": "), "file", F.lit(" "), "first_line", F.lit("-"), "last_line", F.lit("\n\nmachine: "), F.coalesce("machine_state", F.lit("-")),
+        F.lit("; live file: "), "live_file", F.lit("; in: "), dash("inputs"), F.lit("; out: "), dash("outputs"), F.lit("\n\n    "), "text", F.lit("\n"),
+    )
+    parts.append(each.select(F.lit(100).alias("part"), F.col("id").alias("key"), block.alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_markdown(text: DataFrame, path: str) -> None:
+    """Files whose names' order is the text's order."""
+    text.orderBy("part", "key", "value").select("value").write.mode("overwrite").text(path)

@@ -14,6 +14,8 @@ from tracewell.functions.style_names import style_names
 from tracewell.runtime import materialize
 
 MODES = ("exact", "prefix", "stem")
+#: What names look for, in rows up to which it is sent to all executors.
+SMALL = 100_000
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,16 +53,19 @@ def humps(name: Column) -> Column:
     return F.transform(at, lambda p: F.substring(name, F.lit(1), p - 1))
 
 
-def occurrences(lines: DataFrame) -> DataFrame:
-    """lines(file, line_no, line) as (file, line_no, line, way, key): what each line holds for each way of writing a name."""
-    token = lambda way, keys: lines.select("file", "line_no", "line", F.lit(way).alias("way"), F.explode(F.array_distinct(keys)).alias("key"))
+def occurrences(lines: DataFrame, ways: tuple[str, ...] = ("token", "prefix", "hole", "var")) -> DataFrame:
+    """lines(file, line_no, line) as (file, line_no, way, key): what each line holds for these ways of writing a name."""
     tokens = C.style_tokens(F.col("line"))
-    return (
-        token("token", tokens)
-        .unionByName(token("prefix", F.flatten(F.transform(tokens, prefixes))))
-        .unionByName(token("hole", F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_-]+)\$\{"), F.lit(1))))
-        .unionByName(token("var", F.regexp_extract_all("line", F.lit(r"var\(\s*([A-Za-z0-9_-]+)"), F.lit(1))))
-    )
+    held = {
+        "token": tokens,
+        "prefix": F.flatten(F.transform(tokens, prefixes)),
+        "hole": F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_-]+)\$\{"), F.lit(1)),
+        "var": F.regexp_extract_all("line", F.lit(r"var\(\s*([A-Za-z0-9_-]+)"), F.lit(1)),
+    }
+    out = lines.where("false").select("file", "line_no", F.lit("").alias("way"), F.lit("").alias("key"))
+    for way in ways:
+        out = out.unionByName(lines.select("file", "line_no", F.lit(way).alias("way"), F.explode(F.array_distinct(held[way])).alias("key")))
+    return out
 
 
 def searches(names: DataFrame) -> DataFrame:
@@ -77,9 +82,17 @@ def searches(names: DataFrame) -> DataFrame:
 
 
 def matches(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, kind, name, role, mode, file, line_no, line): the first matching mode per name and line."""
-    met = occurrences(lines).join(searches(names), ["way", "key"])
-    best = met.groupBy("id", "kind", "name", "role", "file", "line_no").agg(F.min("mode").alias("mode"), F.first("line").alias("line"))
+    """(id, kind, name, role, mode, file, line_no): the first matching mode per name and line.
+
+    Lines are searched in the ways that the names ask for, and only what some name
+    looks for leaves a line's task where the names are few.
+    """
+    sought = materialize(searches(names), "sought")
+    ways = tuple(sorted(r["way"] for r in sought.select("way").distinct().collect()))  # four at most
+    if sought.count() <= SMALL:
+        sought = F.broadcast(sought)
+    met = occurrences(lines, ways).join(sought, ["way", "key"])
+    best = met.groupBy("id", "kind", "name", "role", "file", "line_no").agg(F.min("mode").alias("mode"))
     return best.withColumn("mode", F.element_at(F.array(*[F.lit(m) for m in MODES]), F.col("mode") + 1))
 
 
@@ -97,6 +110,7 @@ def evidence(targets: DataFrame, selectors: DataFrame, lines: DataFrame, most: i
     names = materialize(names_of(text, selectors), "names")
     found = matches(names, lines).where(~((F.col("kind") == "class") & C.has_ext(F.col("file"), S.STYLE, any_case=True)))
     found = found.join(spans, "id").where(~((F.col("file") == F.col("own_file")) & F.col("line_no").between(F.col("first_line"), F.col("last_line"))))
+    found = found.join(lines, ["file", "line_no"])
     rows = found.select(F.col("id").alias("statement"), F.col("name").alias("searched"), "kind", "role", "mode", "file", F.col("line_no").alias("line"), F.substring(C.strip(F.col("line")), 1, 80).alias("excerpt"))
     rows = materialize(rows, "evidence")
     absent = names.where("kind = 'class' and role = 'context'").select(F.col("id").alias("statement"), F.col("name").alias("searched"), "kind", "role").join(rows.select("statement", "searched", "kind", "role").distinct(), ["statement", "searched", "kind", "role"], "left_anti")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import schema as S
-from tracewell.operators import graph
+from tracewell.operators import checks, graph
+from tracewell.runtime import materialize
 from tracewell.sources.scans import Refused
 
 LOG = "seq long, type string, id long, other long, text string"
+COLUMNS = "seq long, id long, inputs array<long>, outputs array<long>"
 
 
 def flags(statements: DataFrame, events: DataFrame) -> DataFrame:
@@ -60,6 +62,29 @@ def queue(states: DataFrame, events: DataFrame) -> DataFrame:
     return events.where("type = 'queue'").select("id").distinct().join(states.where("not visited").select("id"), "id", "left_semi")
 
 
+def since_reset(events: DataFrame) -> DataFrame:
+    """What machines said since the last reset: (type, id, other, text)."""
+    reset = events.where("type = 'reset'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("reset"))
+    return events.crossJoin(F.broadcast(reset)).where("seq > reset").drop("reset")  # one row
+
+
+def stored_sums(events: DataFrame) -> DataFrame:
+    """(path, sha256): the sums that the last fill stored."""
+    parts = F.split("text", "\t")
+    return since_reset(events).where("type = 'sum'").select(parts[0].alias("path"), parts[1].alias("sha256"))
+
+
+def handed(events: DataFrame, states: DataFrame) -> DataFrame:
+    """D12 (id): handed out, not answered, and still unvisited."""
+    last = events.where("type in ('hand', 'record', 'unsure')").agg(F.max_by(F.struct("type", "id"), "seq").alias("x")).where("x.type = 'hand'").select(F.col("x.id").alias("id"))
+    return last.join(states.where("not visited").select("id"), "id", "left_semi")
+
+
+def latest_columns(stored: DataFrame) -> DataFrame:
+    """(id, inputs, outputs) of the last step that wrote each id's columns(seq, id, inputs, outputs)."""
+    return stored.groupBy("id").agg(F.max_by(F.struct("inputs", "outputs"), "seq").alias("x")).select("id", "x.inputs", "x.outputs")
+
+
 def fold(events: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
     """The latest event per key by a total order, with its values."""
     at = F.struct(*order)
@@ -79,13 +104,31 @@ class Review:
 
     # --- the log
 
-    def log(self) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(f"{self.folder}/log")
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], LOG)
+            return self.spark.createDataFrame([], schema)
+
+    def log(self) -> DataFrame:
+        return self._read("log", LOG)
+
+    def columns(self) -> DataFrame:
+        """(id, inputs, outputs) as W15 wrote them last."""
+        return latest_columns(self._read("columns", COLUMNS))
+
+    def _rebuild(self, ids: list[int] | None = None) -> None:
+        """Write the columns of these statements, or of all that have or had links, from all links."""
+        log = self.log()
+        seq = F.lit(log.agg(F.max("seq")).first()[0] or 0).cast("long")
+        now = graph.io_columns(log_links(log)).select("id", "inputs", "outputs")
+        if ids is None:
+            now = now.select("id").unionByName(self.columns().select("id")).distinct().join(now, "id", "left")
+        else:
+            now = now.where(F.col("id").isin(ids))
+        now.select(seq.alias("seq"), "id", "inputs", "outputs").write.mode("append").parquet(f"{self.folder}/columns")
 
     def _append(self, rows: list[tuple] | DataFrame) -> None:
         """rows of (type, id, other, text): all get the next sequence number, so one append is one step."""
@@ -112,8 +155,12 @@ class Review:
 
     # --- machine commands
 
-    def fill(self, links: DataFrame) -> None:
-        """Admit links(source, target, kind); none is marked visited."""
+    def fill(self, links: DataFrame, graphs: list[str] | None = None, manifest: DataFrame | None = None) -> None:
+        """Admit links(source, target, kind); none is marked visited.
+
+        The log keeps sums of the links and of the manifest, and the graphs that producers
+        gave, which may be without links; by default those of the links' kinds.
+        """
         if log_links(self.log()).where("origin = 'machine'").limit(1).count():
             raise Refused("the machine's links are there already")
         if odd := links.where(~F.col("kind").isin(*S.MACHINE_KINDS)).select("kind").first():
@@ -121,8 +168,15 @@ class Review:
         if lost := graph.unknown_ids(links, self.statements).first():
             raise Refused(f"no statement {lost['id']}")
         rows = links.select("source", "target", "kind").distinct()
-        marks = self.spark.createDataFrame([("fill", None, None, None)], "type string, id long, other long, text string")
-        self._append(rows.select(F.lit("link").alias("type"), F.col("source").alias("id"), F.col("target").alias("other"), F.col("kind").alias("text")).unionByName(marks))
+        kinds = [r["kind"] for r in rows.select("kind").distinct().collect()]  # a few: see MACHINE_KINDS
+        marks = self.spark.createDataFrame([("fill", None, None, None), *[("graph", None, None, g) for g in sorted({*kinds, *(graphs or ())})]], "type string, id long, other long, text string")
+        sums = checks.link_sums(rows)
+        if manifest is not None:
+            sums = sums.unionByName(checks.manifest_sum(manifest))
+        none = F.lit(None).cast("long")
+        sums = sums.select(F.lit("sum").alias("type"), none.alias("id"), none.alias("other"), F.concat_ws("\t", "path", "sha256").alias("text"))
+        self._append(rows.select(F.lit("link").alias("type"), F.col("source").alias("id"), F.col("target").alias("other"), F.col("kind").alias("text")).unionByName(marks).unionByName(sums))
+        self._rebuild()
 
     def walk(self) -> DataFrame:
         """Mark what machine links reach from the entries that are not demoted; returns the states."""
@@ -141,6 +195,7 @@ class Review:
         if not confirm:
             raise Refused("a reset has to be confirmed")
         self._append([("reset", None, None, None)])
+        self._rebuild()
 
     # --- traversal
 
@@ -180,6 +235,7 @@ class Review:
             planned, *ahead = ahead
             rows.append(("plan", planned, None, None))
         self._append(rows + [("queue", i, None, None) for i in ahead])
+        self._rebuild([number, *inputs, *outputs])
         return planned
 
     # --- review
@@ -188,15 +244,16 @@ class Review:
         """Undecided statements by id."""
         return self.states().where("unresolved and not reviewed").orderBy("id")
 
-    def sweep(self, dry: bool = False, unreached: bool = False) -> list[int]:
-        """Open a case for what no one examined."""
+    def sweep(self, dry: bool = False, unreached: bool = False) -> DataFrame:
+        """Open a case for what no one examined; returns the cases (id)."""
         states = self.states()
         if not states.where("machine_state is not null").limit(1).count():
             raise Refused("nothing is walked")
-        ids = [r["id"] for r in sweep_cases(states, unreached).orderBy("id").collect()]
-        if ids and not dry:
-            self._append([("sweep", i, None, None) for i in ids])
-        return ids
+        cases = materialize(sweep_cases(states, unreached), "cases")
+        if not dry and not cases.isEmpty():
+            none = F.lit(None).cast("string")
+            self._append(cases.select(F.lit("sweep").alias("type"), "id", F.lit(None).cast("long").alias("other"), none.alias("text")))
+        return cases
 
     def _guard(self, number: int) -> None:
         row = self._row(number)
@@ -213,6 +270,7 @@ class Review:
         self._known([*inputs, *outputs])
         rows = [("resolve", number, None, None)] + [("link", number, o, "STATED") for o in outputs] + [("link", i, number, "STATED") for i in inputs]
         self._append(rows + [("queue", i, None, None) for i in self._unvisited(list(outputs)) if i != number])
+        self._rebuild([number, *inputs, *outputs])
 
     def reopen(self, number: int, how: str) -> None:
         """Back to unvisited, as an entry, queued, or (`none`) as no longer used, which no real entry can be."""

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell import schema as S
 from tracewell.operators import checks, edges, graph, loads, names, report, statements, styles
-from tracewell.operators.workflow import Review, log_links, queue
+from tracewell.operators.workflow import Review, handed, log_links, queue, since_reset, stored_sums
 from tracewell.runtime import local_session, materialize, ship
 from tracewell.sources import scans
 
@@ -46,17 +47,21 @@ def take_snapshot(spark: SparkSession, root: str, listed_lines: DataFrame, regis
     copied = materialize(parts["copied"], "snapshot")
     split = statements.split_files(copied, spans)
     rows = materialize(split["statements"], "statements")
-    return Project(listed, copied.select("path", "sha256"), parts["missing"], parts["quarantined"], rows, split["selectors"], split["errors"], copied, register)
+    manifest = materialize(copied.select("path", "sha256"), "manifest")
+    return Project(listed, manifest, parts["missing"], parts["quarantined"], rows, split["selectors"], split["errors"], copied, register)
 
 
-def derive(project: Project, entries: DataFrame, aliases: list[tuple[str, str]] = (), exports: DataFrame | None = None, settings: str | None = names.SETTINGS) -> dict[str, DataFrame]:
-    """Load, use and exported links (source, target, kind), with demoted entries and loaded files."""
+def derive(project: Project, entries: DataFrame, aliases: list[tuple[str, str]] = (), exports: DataFrame | None = None, settings: str | None = None) -> dict:
+    """Load, use and exported links (source, target, kind), with demoted entries, loaded files and the names of the graphs."""
     load = loads.load_graph(project.statements, entries, project.selectors, aliases)
     table = names.Names(project.statements, aliases)
     links = load["links"].unionByName(table.use_links(entries, settings))
+    graphs = ["LOADS", "USES"]
     if exports is not None:
+        scans.refuse(edges.refs_without_record(exports, table.defined_names()))
+        graphs += [r["kind"] for r in exports.where(F.col("kind").isin(*S.MACHINE_KINDS)).select("kind").distinct().collect()]  # a few
         links = links.unionByName(edges.links_of(edges.merge(exports, project.statements, table.defined_names())))
-    return {"links": materialize(links.distinct(), "links"), "demoted": load["demoted"], "loaded": load["loaded"], "imports": load["imports"], "defined": table.defined_names()}
+    return {"links": materialize(links.distinct(), "links"), "demoted": load["demoted"], "loaded": load["loaded"], "imports": load["imports"], "defined": table.defined_names(), "graphs": graphs}
 
 
 def evidence(project: Project, states: DataFrame, most: int = 0) -> DataFrame:
@@ -65,31 +70,30 @@ def evidence(project: Project, states: DataFrame, most: int = 0) -> DataFrame:
     return styles.evidence(open_, project.selectors, scans.snapshot_lines(project.snapshot), most)
 
 
-def violations(project: Project, review: Review, progress: int, graphs: list[str]) -> DataFrame:
-    """V1-V10 for the final list."""
+def violations(project: Project, review: Review, progress: int, links: DataFrame) -> DataFrame:
+    """V1-V10 for the final list, from the stored tables and the log. links: the derived links as they are now."""
     states, log = review.states(), review.log()
-    phases = [r["type"] for r in log.where("type in ('fill', 'state')").select("type").distinct().collect()]
-    phases = ["walk" if p == "state" else p for p in phases]
     none = states.where("false").select("id")
     now = project.snapshot.select("path", F.sha2("content", 256).alias("sha256"))
     lines = project.snapshot.select(F.col("path").alias("file"), F.size(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("lines"))
-    parts = [
+    sums = checks.link_sums(links).unionByName(checks.manifest_sum(project.manifest))
+    return checks.all_of(
         checks.snapshot_intact(project.manifest, now),
         checks.all_split(project.errors),
         checks.all_read(project.statements, progress),
         checks.entries_walked(review.live_entries(), review.demoted if review.demoted is not None else none, states),
-        checks.nothing_open(queue(states, log), none),
+        checks.nothing_open(queue(states, log), handed(log, states)),
+        checks.machine_done(states, since_reset(log)),
+        checks.sums_equal(stored_sums(log), sums),
         checks.all_classified(states),
+        checks.columns_agree(review.columns(), log_links(log)),
         checks.lines_inside(states.where("not visited"), lines),
-    ]
-    if phases:
-        parts.append(checks.machine_done(states, phases, graphs))
-    return checks.all_of(*parts)
+    )
 
 
-def final_list(project: Project, review: Review, live: DataFrame, progress: int, graphs: list[str] = ("LOADS", "USES")) -> tuple[DataFrame, str]:
-    """Refused while a check fails; else the candidates and the list as Markdown. live(path, content)."""
-    scans.refuse(violations(project, review, progress, list(graphs)))
+def final_list(project: Project, review: Review, live: DataFrame, progress: int, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Refused while a check fails; else the candidates and the list as lines of Markdown. live(path, content)."""
+    scans.refuse(violations(project, review, progress, links))
     hashed = live.select("path", F.sha2("content", 256).alias("sha256"))
     rows = report.candidates(review.states(), log_links(review.log()), project.manifest, hashed)
     unseen = report.never_seen(hashed, project.manifest.unionByName(project.quarantined.select(F.col("file").alias("path"), F.lit("").alias("sha256"))), project.register)
@@ -101,14 +105,22 @@ TABLES = ("listed", "manifest", "missing", "quarantined", "statements", "selecto
 
 
 def save(project: Project, folder: str, **more: DataFrame) -> None:
-    """Keep a project's tables, and more by name, under folder/tables; a later command loads them."""
+    """Keep a project's tables, and more by name, under folder/tables; a later command loads them.
+
+    Refused where there are tables already, or where statements, entries or selectors do
+    not fit together; meta is written last, so what broke off cannot be loaded.
+    """
+    scans.refuse(checks.consistent(project.statements, project.selectors, more.get("entries")))
     for name, df in [*((n, getattr(project, n)) for n in TABLES), *more.items()]:
         df.write.mode("errorifexists").parquet(f"{folder}/tables/{name}")
+    spark = project.statements.sparkSession
+    spark.range(1).select(F.lit(S.CREATOR).alias("created_by"), F.lit(S.VERSION).alias("schema_version")).write.mode("errorifexists").parquet(f"{folder}/tables/meta")
 
 
 def load(spark: SparkSession, folder: str) -> tuple[Project, Review]:
     """A saved project and its review, with the entry list and notes (review.md) of the folder."""
     table = lambda n: spark.read.parquet(f"{folder}/tables/{n}")
+    scans.refuse(scans.guard(table("meta")))
     project = Project(*[table(n) for n in TABLES])
     entries, broken = scans.entry_list(scans.text_lines(spark, f"{folder}/entry-points.txt"))
     scans.refuse(broken)
@@ -122,7 +134,7 @@ def _prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
-def run(spark: SparkSession, root: str, folder: str) -> None:
+def run(spark: SparkSession, root: str, folder: str, settings: str | None = None) -> None:
     """Snapshot, split, derive, fill and walk; lists are read from the folder, exported edges from folder/machine."""
     read = lambda name: scans.text_lines(spark, f"{folder}/{name}")
     register = read("source-scope.tsv")
@@ -135,10 +147,10 @@ def run(spark: SparkSession, root: str, folder: str) -> None:
     if any(f.rpartition("/")[2].startswith("edges-") for f in scans._listing(spark, folder)):
         exports, broken = scans.edge_exports(spark, f"{folder}/machine", _prefixes(spark, folder))
         scans.refuse(broken)
-    found = derive(project, entries, [(r["name"], r["target"]) for r in aliases.orderBy("pos").collect()], exports)
-    save(project, folder, demoted=found["demoted"], links=found["links"], loaded=found["loaded"], imports=found["imports"])
+    found = derive(project, entries, [(r["name"], r["target"]) for r in aliases.orderBy("pos").collect()], exports, settings)
+    save(project, folder, entries=entries.select("id"), demoted=found["demoted"], links=found["links"], loaded=found["loaded"], imports=found["imports"])
     review = Review(spark, folder, project.statements, entries, found["demoted"])
-    review.fill(found["links"])
+    review.fill(found["links"], found["graphs"], project.manifest)
     review.walk()
 
 
@@ -154,7 +166,7 @@ def main(argv: list[str] | None = None) -> None:
         for f in flags:
             p.add_argument(f, **({"action": "store_true"} if f in ("--dry", "--unreached", "--unresolved", "--confirm") else {"default": ""}))
 
-    command("run", "project")
+    command("run", "project", flags=("--settings",))
     command("walk")
     command("reset", flags=("--confirm",))
     command("next")
@@ -171,7 +183,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession() or local_session()
     ship(spark)
     if a.command == "run":
-        run(spark, a.project, a.folder)
+        run(spark, a.project, a.folder, a.settings or None)
     project, review = load(spark, a.folder)
     ids = lambda text: sorted({int(x) for x in text.replace(";", ",").split(",") if x.strip()})
     if a.command in ("run", "walk"):
@@ -188,7 +200,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "list":
         review.unresolved().show(1000, truncate=100)
     elif a.command == "sweep":
-        print(review.sweep(a.dry, a.unreached))
+        review.sweep(a.dry, a.unreached).orderBy("id").show(1000)
     elif a.command == "resolve":
         review.resolve(int(a.id), ids(a.inputs), ids(a.outputs))
     elif a.command == "reopen":
@@ -205,9 +217,9 @@ def main(argv: list[str] | None = None) -> None:
         scans.write_tsv(rows, f"{a.folder}/style-candidates", ["statement", "rank"])
         styles.evidence_counts(rows).show()
     elif a.command == "build":
-        rows, text = final_list(project, review, scans.tree(spark, a.project), int(a.progress))
+        rows, text = final_list(project, review, scans.tree(spark, a.project), int(a.progress), spark.read.parquet(f"{a.folder}/tables/links"))
         scans.write_tsv(rows, f"{a.folder}/final-list", ["id"])
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.folder}/final-list.md")
+        report.write_markdown(text, f"{a.folder}/final-list.md")
 
 
 if __name__ == "__main__":

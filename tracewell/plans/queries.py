@@ -9,28 +9,18 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as C
+from tracewell.functions.splitting import squeezed
 from tracewell.operators import checks, edges, graph, loads, names, report, statements, styles, workflow
+from tracewell.plans import queries_review, queries_texts  # noqa: F401  their queries are registered too
+from tracewell.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from tracewell.runtime import materialize, read_table, shared_dir
 from tracewell.sources import scans
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
 # --- orders as statements: each needs the customer's next one --------------
 
 CHAIN = """
@@ -312,7 +302,7 @@ def _shop(spark, d) -> DataFrame:
 )
 def name_use_links(spark, d):
     rows = _shop(spark, d)
-    return names.Names(rows).use_links(rows.where("false").select("id"), settings=None)
+    return names.Names(rows).use_links(rows.where("false").select("id"))
 
 
 @query(
@@ -407,12 +397,6 @@ def evidence_cap(spark, d):
     return styles.evidence(targets, none, lines, most=3).select("statement", "searched", "role", "mode", F.col("line").cast("long").alias("line"))
 
 
-@query("WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag")
-def name_extract_counts(spark, d):
-    tags = read_table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
 # --- files and texts -----------------------------------------------------------------
 
 
@@ -425,9 +409,16 @@ def split_lines(spark, d):
     return lines.select(F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("doc_id"), "line_no", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(translate(text, chr(34) || chr(39) || chr(96), ''), '[ \t\n\r\v\f]+', ' ', 'g'))) AS squeezed FROM documents")
 def squeeze_whitespace(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", F.md5(C.squeezed_blanks(F.col("text")).cast("binary")).alias("squeezed"))
+    """U8 on texts without quotes; python_split and others have quotes in theirs."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([squeezed(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "squeezed"])
+
+    plain = read_table(spark, d, "documents").select("doc_id", F.translate("text", "\"'`", "").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, squeezed string").select("doc_id", F.md5(F.col("squeezed").cast("binary")).alias("squeezed"))
 
 
 @query("SELECT source || '/' || doc_id AS file, 'the bytes are no UTF-8' AS reason FROM documents WHERE doc_id % 10 = 0")
@@ -438,13 +429,9 @@ def utf8_quarantine(spark, d):
     return scans.snapshot(files.select("path"), files)["quarantined"]
 
 
-@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
-def json_props_scan(spark, d):
-    return read_table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
-
-
 DRIFT = """WITH b AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS was FROM documents),
-n AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'new' || doc_id, sha256(text) FROM documents WHERE doc_id % 7 = 0)
+n AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 7 <> 0
+  UNION ALL SELECT 'new' || doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) FROM documents WHERE doc_id % 7 = 0)
 SELECT coalesce(b.path, n.path) AS path, CASE WHEN now IS NULL THEN 'missing' WHEN was IS NULL THEN 'extra' WHEN was = now THEN 'same' ELSE 'changed' END AS change FROM b FULL JOIN n ON b.path = n.path"""
 
 
@@ -456,12 +443,12 @@ def _drift(spark, d) -> tuple[DataFrame, DataFrame]:
     return before, docs.select(path.alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), "doc_id").select("path", "sha256")
 
 
-@query(DRIFT.replace("SELECT 'new' || doc_id, sha256(text)", "SELECT 'new' || doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END)"))
+@query(DRIFT)
 def sha_drift(spark, d):
     return checks.file_changes(*_drift(spark, d))
 
 
-@query("SELECT 'snapshot' AS rule, change || ' ' || path AS detail FROM (" + ORACLE["sha_drift"] + ") WHERE change <> 'same'")
+@query(f"SELECT 'snapshot' AS rule, change || ' ' || path AS detail FROM ({DRIFT}) WHERE change <> 'same'")
 def snapshot_violations(spark, d):
     return checks.snapshot_intact(*_drift(spark, d))
 
@@ -540,7 +527,7 @@ def never_examined(spark, d):
     return workflow.never_examined(_review(spark, d)[0])
 
 
-@query(f"{REVIEW} SELECT id, visited, CASE WHEN visited OR unresolved THEN 'intelligence' END AS visited_by, unresolved, reviewed, machine_state FROM s".replace("SELECT id, visited,", "SELECT id, visited OR unresolved AS visited,"))
+@query(f"{REVIEW} SELECT id, visited OR unresolved AS visited, CASE WHEN visited OR unresolved THEN 'intelligence' END AS visited_by, unresolved, reviewed, machine_state FROM s")
 def review_flags(spark, d):
     return _review(spark, d)[0].select("id", "visited", "visited_by", "unresolved", "reviewed", "machine_state")
 
@@ -594,7 +581,7 @@ def violations_all(spark, d):
     file = spark.createDataFrame([("f", 40)], "file string, lines int")
     return checks.all_of(
         checks.entries_walked(urgent, demoted, states),
-        checks.machine_done(states, ["fill", "walk"], ["LOADS"]),
+        checks.machine_done(states, spark.createDataFrame([("fill", None), ("state", None), ("graph", "LOADS")], "type string, text string")),
         checks.nothing_open(lines, lines.where("false")),
         checks.all_read(states, 0),
         checks.lines_inside(spots, file),
@@ -604,8 +591,8 @@ def violations_all(spark, d):
 @query(
     f"""{REACH}, {STATE}, sent AS (SELECT source AS a, target AS b FROM link)
 SELECT s.id, s.file::VARCHAR AS file, 1 AS first_line, 3 AS last_line, 3 AS lines, coalesce((SELECT a::VARCHAR FROM sent WHERE b = s.id), '') AS inputs, coalesce((SELECT b::VARCHAR FROM sent WHERE a = s.id), '') AS outputs,
-  machine_state, false AS reviewed, CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN c.c_acctbal < 0 THEN 'changed' WHEN c.c_mktsegment = 'BUILDING' THEN 'missing' ELSE 'same' END AS live_file
-FROM state s LEFT JOIN customer c ON c.c_custkey = s.file WHERE machine_state <> 'reached'""".replace("WHEN c.c_acctbal < 0 THEN 'changed' WHEN c.c_mktsegment = 'BUILDING' THEN 'missing'", "WHEN c.c_mktsegment = 'BUILDING' THEN 'missing' WHEN c.c_acctbal < 0 THEN 'changed'")
+  machine_state, false AS reviewed, CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN c.c_mktsegment = 'BUILDING' THEN 'missing' WHEN c.c_acctbal < 0 THEN 'changed' ELSE 'same' END AS live_file
+FROM state s LEFT JOIN customer c ON c.c_custkey = s.file WHERE machine_state <> 'reached'"""
 )
 def candidate_list(spark, d):
     states, links, _ = _states(spark, d)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-
-
+#: What saved tables say of themselves.
+CREATOR, VERSION = "tracewell", 2
 
 STATEMENTS = "id long, file string, first_line int, last_line int, text string"
 SELECTORS = "statement_id long, ordinal int, selector string, line int"

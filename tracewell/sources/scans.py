@@ -188,12 +188,19 @@ def edge_exports(spark: SparkSession, folder: str, prefixes: DataFrame | None =
 
 
 def edge_rows(raw: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """raw(value, graph) as EDGES; rows of another width are violations."""
-    parts = raw.where("trim(value) <> ''").select("graph", "value", F.split("value", "\t").alias("c"))
+    """raw(value, graph) as EDGES. Rows of another width, of bytes that are no UTF-8, or with a line
+    number that is neither empty nor a number are violations, and no rows."""
+    said = raw.where("trim(value) <> ''")
+    valid = F.is_valid_utf8(F.col("value"))
+    broken = violation(said.where(~valid), "edge-utf8", F.concat(F.col("graph"), F.lit(": "), F.make_valid_utf8("value")))
+    parts = said.where(valid).select("graph", "value", F.split("value", "\t").alias("c"))
+    broken = broken.unionByName(violation(parts.where(~F.size("c").isin(5, 12)), "edge-columns", F.col("value")))
     wide = F.size("c") == 12
-    pick = lambda five, twelve: F.when(wide, F.col("c")[twelve]).otherwise(F.col("c")[five] if five is not None else F.lit(""))
-    good = parts.where(F.size("c").isin(5, 12))
-    ends = good.select(
+    pick = lambda five, twelve: F.when(wide, F.get("c", F.lit(twelve))).otherwise(F.get("c", F.lit(five)) if five is not None else F.lit(""))
+    number = lambda c: (c == "") | c.rlike("^[0-9]{1,9}$")
+    good = parts.where(F.size("c").isin(5, 12)).withColumn("numbered", number(pick(2, 2)) & number(pick(4, 7)))
+    broken = broken.unionByName(violation(good.where("not numbered"), "edge-line", F.col("value")))
+    ends = good.where("numbered").select(
         "graph",
         F.col("c")[0].alias("kind"),
         F.replace(pick(1, 1), F.lit("\\"), F.lit("/")).alias("from_file"),
@@ -213,8 +220,15 @@ def edge_rows(raw: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFr
             ends = ends.withColumn(c, F.when((F.col(c) != "") & F.col("prefix").isNotNull(), F.concat("prefix", c)).otherwise(F.col(c)))
         ends = ends.drop("prefix")
     for c in ("from_line", "to_line"):
-        ends = ends.withColumn(c, F.expr(f"try_cast({c} as int)"))
-    return ends, violation(parts.where(~F.size("c").isin(5, 12)), "edge-columns", F.col("value"))
+        ends = ends.withColumn(c, F.when(F.col(c) != "", F.col(c)).cast("int"))
+    return ends, broken
+
+
+def guard(meta: DataFrame, schema_version: int = S.VERSION) -> DataFrame:
+    """meta(created_by, schema_version) of saved tables: one row, of this package and version."""
+    odd = violation(meta.where(F.col("created_by") != S.CREATOR), "created-by", F.col("created_by"))
+    odd = odd.unionByName(violation(meta.where(F.col("schema_version") != schema_version), "schema-version", F.col("schema_version")))
+    return odd.unionByName(violation(meta.agg(F.count("*").alias("n")).where("n <> 1"), "meta-rows", F.col("n")))
 
 
 def review_sections(spark: SparkSession, path: str) -> DataFrame:
