@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell import runtime
 from tracewell import schema as S
 from tracewell.operators import edges, graph, loads, names, styles
 from tracewell.operators.workflow import Review, handed, log_links, queue
@@ -306,3 +307,25 @@ def test_scans(spark):
     assert sorted(r["rule"] for r in bad.collect()) == ["edge-columns", "edge-line", "edge-utf8"]
     assert [r["detail"] for r in edges.refs_without_record(rows, None).collect()] == ["g"] and edges.refs_without_record(rows, rows).count() == 0
     assert scans.contained("/tmp", "a/../b") and not scans.contained("/tmp", "../etc")
+
+
+def test_a_cluster_has_to_name_the_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = spark.conf
+        sparkContext = Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            runtime.shared_dir(Session())
+    assert runtime.shared_dir(spark)
+
+
+def test_free_names(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, K_ int")
+    assert runtime.free_names(df, "k", "k_", "x") == ["k__", "k___", "x"]

@@ -27,19 +27,26 @@ def local_session(name: str = "tracewell", cores: str = "*", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests), a temporary folder is set as the
-    context's checkpoint folder and used.
+    Where the session names none and everything runs in one process (tests), a temporary
+    folder is set as the context's checkpoint folder and used; a cluster has to name one.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not _in_one_process(spark):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+def _in_one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and "cluster" not in master
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -91,7 +98,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their Python path has it already."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sc = spark.sparkContext
-    here = sc.master.startswith("local") and "cluster" not in sc.master and os.path.realpath(os.getcwd()) == os.path.realpath(root)
+    here = _in_one_process(spark) and os.path.realpath(os.getcwd()) == os.path.realpath(root)
     if here or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     if getattr(sc, "_tracewell_shipped", False):
