@@ -233,13 +233,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Labelled texts for learning: of each label those of the least hashes until they
+    """Different labelled texts for learning: of each label those of the least hashes until they
     have `chars` characters, one text at least. Of a longer text its first `chars` count."""
     rows = docs.select(F.substring(F.col(text_col), 1, chars).alias("t"), F.col(label_col).cast("string").alias("l")).where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("t"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect() if r["n"]}
     if not sizes:
         return {}
-    cell = F.pmod(F.xxhash64("t"), F.lit(CELLS))
+    cell = F.pmod("h", F.lit(CELLS))
 
     def below(limits: dict[str, int]) -> DataFrame:
         table = F.create_map(*[x for k, n in limits.items() for x in (F.lit(k), F.lit(n))])
@@ -248,7 +249,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: i
     limits = {k: CELLS for k in sizes}
     tried = {k: int(2 * CELLS * chars / n) + 1 for k, n in sizes.items() if n > chars}
     while tried:  # about twice as many as needed at first
-        found = below(tried).groupBy("l", cell.alias("cell")).agg(F.sum(F.length("t")).alias("n")).collect()
+        each = below(tried).groupBy("l", "h").agg(F.max(F.length("t")).alias("n"))
+        found = each.groupBy("l", cell.alias("cell")).agg(F.sum("n").alias("n")).collect()
         total = dict.fromkeys(tried, 0)
         for r in sorted(found, key=lambda r: r["cell"]):
             k = r["l"]
@@ -256,7 +258,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: i
                 total[k] += r["n"]
                 limits[k] = r["cell"] + 1
         tried = {k: min(4 * n, CELLS) for k, n in tried.items() if total[k] < chars and n < CELLS}
-    taken = below(limits).collect()
+    taken = below(limits).select("l", "t").distinct().collect()
     out: dict[str, list[str]] = {}
     for r in sorted(taken, key=lambda r: (r["l"], r["t"])):
         out.setdefault(r["l"], []).append(r["t"])
@@ -264,6 +266,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, chars: i
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS) -> Model:
+    """The models of all languages that labelled rows which are not held out have texts with letters of.
+
+    Null texts, labels and ids teach nothing, and copies of a text teach once. No such
+    rows: a model of no language.
+    """
     texts = {k: v for k, v in sample(docs, id_col, text_col, lang_col, chars).items() if any(map(str.isalpha, "".join(v)))}
     halves = {k: (v[::2], v[1::2] or v) for k, v in texts.items()}
     probe = Model({k: a for k, (a, _) in halves.items()})
