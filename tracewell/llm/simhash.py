@@ -37,7 +37,7 @@ CHUNK = 65536
 BLOCK = 1_500_000
 LEAST_BLOCKS = 96
 #: Fingerprints whose variants one task emits, about.
-DEAL = 10_000
+DEAL, MOST_DEALS = 10_000, 20_000
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -46,12 +46,17 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     if not w:
         return 0
     grams = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)))))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(grams), CHUNK):
-        part = grams[at : at + CHUNK]
-        h = np.fromiter((digest(g, SEED) for g in part), np.dtype("<u8"), len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams)).view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return fingerprint_of(np.fromiter((digest(g, SEED) for g in grams), np.dtype("<u8"), len(grams)))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The SimHash of shingles by their hashes; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = np.ascontiguousarray(h[at : at + CHUNK], np.dtype("<u8"))
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h)).view("<u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -81,8 +86,8 @@ def _emit(blocks: int):
         def packed(fps: np.ndarray, flips: np.ndarray) -> pa.RecordBatch:
             v = (fps[:, None] ^ flips[None, :]).ravel()
             c = np.tile(np.arange(len(flips), dtype=np.uint16), len(fps))
-            to = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)
-            to = to.astype(np.uint16)
+            to = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(blocks)
+            to = to.astype(np.uint16 if blocks <= 65536 else np.uint32)
             order = np.argsort(to, kind="stable")
             v, c, cuts = v[order], c[order], np.concatenate([[0], np.cumsum(np.bincount(to, minlength=blocks))])
             full = np.flatnonzero(np.diff(cuts))
@@ -131,8 +136,9 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def fingerprint_links(distinct: DataFrame, rows: int) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints within 3 bits. distinct(fp): each one once."""
-    blocks = min(65535, max(LEAST_BLOCKS, rows * 561 // BLOCK))
-    dealt = distinct.select("fp").repartition(max(1, -(-rows // DEAL)))
+    blocks = max(LEAST_BLOCKS, rows * 561 // BLOCK)
+    # tasks of about DEAL fingerprints while they are few; large inputs get larger tasks, as variants are emitted in steps
+    dealt = distinct.select("fp").repartition(max(1, min(-(-rows // DEAL), MOST_DEALS)))
     packed = dealt.mapInArrow(_emit(blocks), "block int, v binary, c binary")
     return packed.groupBy("block").applyInArrow(_meet, "a long, b long")
 
@@ -156,15 +162,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: texts of five-word shingles with a
+    Jaccard similarity of at least 0.8, and what is reached over such pairs.
 
-    Columns stay. Rows are told apart by id and text, so each group keeps exactly
-    one row whatever the ids are.
+    Fingerprints of five words within 3 bits give candidates by ball hashing, bands of
+    minima those that the ball cannot reach, and all are compared exactly (near_copies.py).
+    The row of the smallest id stays. Columns stay, whatever their names. Rows are told apart by
+    id and text, so each group keeps exactly one row whatever the ids: null ids come
+    last, then the text's hash decides; of rows that repeat one stays. Null texts count
+    as empty ones, which are one group; an empty table gives no rows.
     """
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    fps = materialize(with_fingerprints(docs.select(F.xxhash64(t).alias("k"), t.alias("t")), "k", "t", words).distinct(), "fps")
-    distinct = materialize(fps.select("fp").distinct(), "distinct")
-    found = components(fingerprint_links(distinct, distinct.count()))
-    groups = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("doc_id").alias("k"), F.coalesce("root", "fp").alias("root"))
-    return keep_one(docs, groups, id_col, text_col)
+    from tracewell.llm.near_copies import grouped
+
+    return keep_one(docs, grouped(docs, text_col), id_col, text_col)
