@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.llm import cap_filters, near_copies, simhash, topk
@@ -64,8 +67,8 @@ def test_near_duplicates_edges(spark):
     got = sorted((r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     by = {i: c for i, _, c in got}
     assert len(got) == 9 and by == {2: 2, 3: 3, 5: 3, 9: 3, 4: 4, 6: 4, 7: 4, 8: 8}
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 8]
+    kept = simhash.keep_first(docs.selectExpr("*", "1 as k", "2 as gone_id"))
+    assert kept.columns == [*docs.columns, "k", "gone_id"] and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -87,14 +90,60 @@ def test_caps_against_all_pairs(spark):
     assert got == {i: (sum(a == i for a, _ in linked), root[i], root[i] == i) for i in root}
 
 
-def test_caps_recall_at_the_threshold():
+def test_groups_of_near_copies_by_brute_force(spark):
+    """Tight and loose groups, chains and border cases, with copies and ids that repeat."""
+    rng = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((12, 32)))
+    rows, n = [], 0
+    for k, v in enumerate(base):
+        for spread in rng.choice([0.02, 0.1, 0.2, 0.3, 0.37, 0.5], 30):
+            rows.append((n, unit(v + spread * unit(rng.standard_normal(32))), k % 2))
+            n += 1
+    for k in range(4):  # two tight groups whose angle is that of the threshold, about
+        z = unit(rng.standard_normal(32) - 0)
+        z = unit(z - (z @ base[k]) * base[k])
+        for turn in (0.0, math.acos(0.93)):
+            for _ in range(25):
+                rows.append((n, unit(math.cos(turn) * base[k] + math.sin(turn) * z + 0.03 * unit(rng.standard_normal(32))), k % 2))
+                n += 1
+    rows += [(n, rows[0][1], 0), (0, rows[0][1], 0), (0, rows[5][1], 0), (1, unit(rng.standard_normal(32)), 0)]
+    df = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as cls", "2 as lead", "3 as h")
+    x, label = np.stack([v for _, v, _ in rows]), np.array([label for _, _, label in rows])
+    near = (x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None, :]) >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    least = smallest([(i, at) for at, (i, _, _) in enumerate(rows)], [((rows[a][0], a), (rows[b][0], b)) for a, b in zip(*np.nonzero(near))])
+    want = sorted((i, int(near[at].sum()), least[(i, at)][0], least[(i, at)][0] == i) for at, (i, _, _) in enumerate(rows))
+    assert sorted(tuple(r) for r in cap_filters.near_duplicates(df).collect()) == want
+    assert near.sum() > 8000
+    assert cap_filters.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal(48) + 0.03 * rng.standard_normal((1500, 48))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    made = []
+    cosine = cap_filters._cosine
+
+    def counting(pairs, vectors, a, b):
+        made.append(pairs.count())
+        return cosine(pairs, vectors, a, b)
+
+    monkeypatch.setattr(cap_filters, "_cosine", counting)
+    got = cap_filters.near_duplicates(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(1499, 0)} and sum(made) < 4 * 1500
+
+
+@pytest.mark.parametrize("words,n_caps", [c[1:] for c in cap_filters.CODES[:2]])
+def test_caps_recall_at_the_threshold(words, n_caps):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal((1500, 64))
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    shared = [len(np.intersect1d(a, b)) for a, b in zip(cap_filters.caps(x), cap_filters.caps(y))]
+    shared = [len(np.intersect1d(a, b)) for a, b in zip(cap_filters.caps(x, words, n_caps), cap_filters.caps(y, words, n_caps))]
     assert np.mean(np.array(shared) > 0) >= 0.999
 
 
@@ -166,7 +215,7 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
     assert far > len(linked) / 3  # what 3 bits of three words leave
     root = smallest([i for i, _ in rows], linked)
     assert len(set(root.values())) < len(rows) - 50
-    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
 
@@ -177,8 +226,21 @@ def test_split_is_exact():
     assert near_copies.split(sets).tolist() == list(smallest(range(300), linked).values())
 
 
-@pytest.mark.parametrize("keep", [simhash.keep_first, near_copies.keep_first])
-def test_each_group_keeps_one_row_whatever_the_ids(spark, keep):
+def test_ball_links_are_candidates_too(spark, monkeypatch):
+    """Without any band, texts within 3 bits are still grouped, and compared exactly."""
+    monkeypatch.setattr(near_copies, "bands", lambda grams: np.zeros(0, np.uint64))
+    base = [f"w{i}" for i in range(2000)]
+    near, far = [*base[:-1], "end"], [f"v{i}" for i in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([t.encode() for _, t in rows])], names=["k", "t"])
+    out = next(near_copies._keys(iter([batch]))).to_pydict()
+    assert (out["fp"][0] ^ out["fp"][1]).bit_count() <= 3 and (out["fp"][0] ^ out["fp"][2]).bit_count() > 3
+    got = near_copies.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["root"] for r in got}) == 2
+
+
+def test_each_group_keeps_one_row_whatever_the_ids(spark):
+    keep = simhash.keep_first
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
     rows = [(None, a, "p"), (None, b, "p"), (None, a.upper(), "p"), (1, c, "p"), (1, d, "p"), (0, c, "p"), (5, "", "p"), (6, None, "p"), (0, c, "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, x string")

@@ -3,6 +3,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -184,6 +185,51 @@ def test_language_models_are_distributions():
         assert (p <= 1.001).all() and (p > 0.4).all()
 
 
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney by dictionaries: p(last character | those before) of a string."""
+    counts = {language_id.ORDER: Counter()}
+    for t in texts:
+        said = " " * language_id.ORDER + re.sub(r"[\W\d_]+", " ", t.lower()).lstrip(" ")
+        counts[language_id.ORDER].update(said[i - language_id.ORDER + 1 : i + 1] for i in range(language_id.ORDER, len(said)))
+    for n in range(language_id.ORDER - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(g):
+        c, d = counts[len(g)], language_id.DISCOUNT
+        if len(g) == 1:
+            total = sum(c.values())
+            return max(c[g] - d, 0) / total + d * len(c) / total / language_id.ALPHABET
+        low, inside = p(g[1:]), {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not inside:
+            return low
+        total = sum(inside.values())
+        return max(inside.get(g, 0) - d, 0) / total + d * len(inside) / total * low
+
+    return p
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = np.random.default_rng(15)
+    letters = [*"abcdé", " ", "ß", ". "]
+    texts = {k: ["".join(rng.choice(letters, 60, p=w)) for _ in range(6)] for k, w in (("a", [0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]), ("b", [0.05, 0.1, 0.3, 0.2, 0.1, 0.1, 0.1, 0.05]))}
+    texts["c"] = ["zyx abc"]
+    m = language_id.Model(texts)
+    plain = {k: plain_kneser_ney(v) for k, v in texts.items()}
+    grams = ["".join(rng.choice([*"abcdéßzq "], 4)) for _ in range(300)]
+    y = np.array([[ord(c) for c in g] for g in grams], np.uint64)
+    got = np.exp(m._lookup(y.ravel(), np.arange(len(grams)) * 4 + 3, 4))
+    for i, g in enumerate(grams):
+        assert got[i] == pytest.approx([plain[k](g) for k in m.languages], rel=1e-4), g
+    # and of a whole text, per character
+    text = "Abc, dé 77 bca!"
+    said = "    " + "abc dé bca "
+    want = [-np.mean([np.log(plain[k](said[i - 3 : i + 1])) for i in range(4, len(said))]) for k in m.languages]
+    h, n = m.entropies([text])
+    assert h[0] == pytest.approx(want, rel=1e-4) and n[0] == 8
+    m.calibrate(texts)
+    assert m.languages[int(h[0].argmin())] == m.judge([text, "ab"])[0][0]
+
+
 def test_language_id(spark):
     words = {"en": "the of and to in that is was for it with as his on be at by this", "de": "der die und den von zu das mit sich des auf für ist im dem nicht ein", "fr": "le la les des est dans que une pour qui au pas sur plus par avec"}
     rng = np.random.default_rng(2)
@@ -202,6 +248,12 @@ def test_language_id(spark):
     assert {r["doc_id"]: r["lang_pred_"] for r in clash.collect()} == {i: r["lang_pred"] for i, r in got.items()}
 
 
+def test_copies_of_a_text_are_sampled_once(spark):
+    docs = spark.createDataFrame([(1 + 5 * i, "the same words again and again", "en") for i in range(2000)] + [(7 + 5 * i, f"other words {i}", "de") for i in range(40)], "doc_id long, text string, lang string")
+    got = language_id.sample(docs, "doc_id", "text", "lang", chars=200)
+    assert got["en"] == ["the same words again and again"] and 200 <= sum(map(len, got["de"])) < 240 and len(set(got["de"])) == len(got["de"])
+
+
 def test_every_label_gets_texts(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"{l}{rng.integers(0, 50)}" for _ in range(4000)), l) for l in "abcdefgh" for i in range(1, 3)] + [(i, f"short text {i}", "z") for i in range(2000)]
@@ -220,12 +272,16 @@ def test_quality_votes(spark):
         t = " ".join(rng.choice(words, 80)) if good else " ".join(f"{w}$$$" for w in rng.choice(words, 80))
         rows.append((i, t, 9))
         labels.append((i, int(good)))
-    rows += [(900, "", 1), (901, None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    space = quality.learn(docs, spark.createDataFrame(labels + [(5, None), (7777, 1)], "doc_id long, quality int"))
-    got = {r["doc_id"]: r["score"] for r in quality.score(docs, space).collect()}
+    rows += [(900, "", 1), (901, None, 1), (None, rows[0][1], 1), (1, rows[1][1], 1), (902, "wort1 " * 200_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").selectExpr("*", "1 as h", "2 as score")
+    space = quality.learn(docs, spark.createDataFrame(labels + [(5, None), (7777, 1), (None, 1), (1, 1)], "doc_id long, quality int"))
+    scored = quality.score(docs, space).collect()
+    assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
+    got = {r["doc_id"]: r["score"] for r in scored}
     assert all((got[i] >= 0.3) == bool(q) for i, q in labels)
-    assert got[900] == got[901] == pytest.approx(space.base)
+    assert got[900] == got[901] == pytest.approx(space.base) and got[None] == pytest.approx(got[0])
+    learned = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    assert len(space.labels) == len(learned)
     # brute force over all labelled vectors
     v = space.unit(space.weighted(np.stack([quality.counts(rows[0][1].encode())])) @ space.axes)[0]
     cos = space.vectors @ v
@@ -234,6 +290,21 @@ def test_quality_votes(spark):
     assert got[0] == pytest.approx((w * space.labels[top]).sum() / w.sum(), abs=1e-5)
     empty = quality.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score(docs, empty).collect()} == {0.5}
+    assert quality.score(docs.limit(0), space).count() == 0
+
+
+def test_counts_survive_packing():
+    for t in (None, b"", b"a a a , ; a b " * 50, "é\u4e2d ß".encode() * 30):
+        assert (quality.unpacked(quality.packed(t)) == quality.counts(t)).all()
+
+
+def test_the_weight_of_repetition_is_learned():
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(300)]
+    plain = [" ".join(rng.choice(words, 60)).encode() for _ in range(100)]
+    same = [" ".join(sum(([w, w] for w in rng.choice(words, 30)), [])).encode() for _ in range(100)]
+    x = np.stack([quality.counts(t) for t in plain + same])
+    assert quality.Space(x, [1.0] * 100 + [0.0] * 100).weight > 0
 
 
 def test_targets():
@@ -360,6 +431,41 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def plain_tree(rows, edges, depth=0):
+    """The best split of all by trying each, level by level."""
+    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    best = (1e-6, -1, -1)
+    for f in range(len(edges)) if depth < url_filter.DEPTH else ():
+        for b in range(len(edges[f])):
+            gl, hl = sum(r[1] for r in rows if r[0][f] <= b), sum(r[2] for r in rows if r[0][f] <= b)
+            if 1e-9 < hl < h - 1e-9:
+                gain = gl**2 / (hl + url_filter.RIDGE) + (g - gl) ** 2 / (h - hl + url_filter.RIDGE) - g**2 / (h + url_filter.RIDGE)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, b)
+    if best[1] < 0:
+        return -url_filter.RATE * g / (h + url_filter.RIDGE)
+    _, f, b = best
+    return f, b, plain_tree([r for r in rows if r[0][f] <= b], edges, depth + 1), plain_tree([r for r in rows if r[0][f] > b], edges, depth + 1)
+
+
+def same_tree(a, b, rows):
+    if not isinstance(a, tuple) or not isinstance(b, tuple):
+        return a == pytest.approx(b, abs=1e-9)
+    # bins that no row has may cut the same rows
+    cut = lambda t: [r[0][t[0]] <= t[1] for r in rows]
+    part = lambda keep: [r for r, k in zip(rows, cut(a)) if k is keep]
+    return cut(a) == cut(b) and same_tree(a[2], b[2], part(True)) and same_tree(a[3], b[3], part(False))
+
+
+def test_a_tree_by_exhaustive_splits(spark):
+    rng = np.random.default_rng(16)
+    edges = [[0.0] * 3, [0.0] * 5, [], [0.0]]
+    rows = [([int(rng.integers(0, len(e) + 1)) for e in edges], float(rng.standard_normal()), float(rng.uniform(0.1, 1))) for _ in range(120)]
+    scored = spark.createDataFrame(rows, "x array<int>, g double, h double")
+    tree = url_filter._grow(scored, edges)
+    assert same_tree(tree, plain_tree(rows, edges), rows) and isinstance(tree[2], tuple)
+
+
 def test_boosted_trees_learn(spark):
     rows = [(f"http://{'pills' * (i % 2)}site{i}.org/a/{'9' * (i % 2 * 8)}?a=1", float(i % 2)) for i in range(400)]
     labelled = spark.createDataFrame(rows, "url string, blocked double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import materialize, release
+from tracewell.runtime import free_names, materialize, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -51,15 +51,16 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_co
 
     It is the row of the smallest id; null ids come last, then the text's hash decides.
     """
+    hashed, gone_id, gone_key = free_names(docs, "k", "gone_id", "gone_key")
     k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), k.alias("k")).groupBy("id", "k").agg(F.count("*").alias("n"))
     rows = materialize(rows.join(groups, "k"), "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("x")).select("root", F.col("x.id").alias("first_id"), F.col("x.k").alias("first_k"))
     judged = rows.join(first, "root").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k"))).alias("kept"))
     judged = materialize(judged, "judged")
-    gone = judged.where("not kept").select(F.col("id").alias("__id"), F.col("k").alias("__gone"))
-    marked = docs.withColumn("__k", k)
-    kept = marked.join(gone, (F.col("__k") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    gone = judged.where("not kept").select(F.col("id").alias(gone_id), F.col("k").alias(gone_key))
+    marked = docs.withColumn(hashed, k)
+    kept = marked.join(gone, (F.col(hashed) == F.col(gone_key)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti")
     if judged.where("kept and n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "__k"])
-    return kept.drop("__k")
+        kept = kept.dropDuplicates([id_col, hashed])
+    return kept.drop(hashed)

@@ -1,8 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Candidates come from bands of minima: a text has BANDS keys, each of ROWS minima
-of its shingles' hashes, so a pair of similarity s shares one with probability
-1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, 0.016 at 0.3. Texts that share keys are
+"""Near copies by the Jaccard similarity of word shingles, for SimHash near-dedup beyond its ball.
+
+Candidates are of two kinds. Texts whose SimHash fingerprints lie within 3 bits meet by
+ball hashing (see simhash.py). At similarity 0.8 two fingerprints differ in some 10 of 64
+bits, and a ball that wide has more variants than can be emitted, so bands of minima
+give the rest: a text has BANDS keys, each of ROWS minima of its shingles' hashes, so a
+pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8,
+0.016 at 0.3. Texts that share keys or balls are
 grouped by connected components, which keeps the links linear in the texts. A
 group's shingle sets then meet in one task, where a search over the graph of
 pairs with exact similarity of at least LEAST splits the group: a text that is
@@ -24,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import components, keep_one
+from tracewell.llm.components import components
+from tracewell.llm.simhash import fingerprint_links, fingerprint_of
 from tracewell.runtime import materialize
 
 SEED = 42
@@ -76,7 +80,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in b.column(1).to_pylist()]
         ids = np.array([_identity(g) for g in sets], np.uint64).view(np.int64)
         keys = [bands(g).view(np.int64).tolist() if len(g) else [] for g in sets]
-        yield pa.record_batch([b.column(0), pa.array(ids), pa.array(keys, pa.list_(pa.int64()))], names=["k", "set", "keys"])
+        fps = np.array([fingerprint_of(g) for g in sets], np.uint64).view(np.int64)
+        yield pa.record_batch([b.column(0), pa.array(ids), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["k", "set", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,25 +136,20 @@ def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k, root): each different text by xxhash64, and its group of near copies. Null texts count as empty."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(t).alias("k"), t.cast("binary").alias("t"))
-    found = materialize(texts.mapInArrow(_keys, "k long, set long, keys array<long>"), "bands")
-    each = found.groupBy("set").agg(F.first("keys").alias("keys"), F.min("k").alias("one"))
+    found = materialize(texts.mapInArrow(_keys, "k long, set long, fp long, keys array<long>"), "bands")
+    each = found.groupBy("set").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min("k").alias("one"))
     each = materialize(each, "sets")
+    balls = materialize(each.groupBy("fp").agg(F.min("set").alias("rep")), "balls")
+    same = each.join(balls, "fp").where("set <> rep").select(F.col("set").alias("a"), F.col("rep").alias("b"))
+    near = fingerprint_links(balls, balls.count())
+    near = near.join(balls.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(balls.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     rows = each.select("set", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("set").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     links = rows.join(least, "key").where("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
-    near = components(links).withColumnRenamed("node", "set")
+    near = components(links.unionByName(same).unionByName(near)).withColumnRenamed("node", "set")
     one = materialize(each.join(near, "set").select("root", "set", F.col("one").alias("k")), "candidates")
     # one text of each set
     sought = texts.join(one, "k").select("root", "set", "t")
     sets = sought.mapInArrow(_sets, "root long, set long, grams binary").dropDuplicates(["set"])
     apart = materialize(sets.groupBy("root").applyInArrow(_grouped, "set long, root long"), "apart")
     return found.select("k", "set").distinct().join(apart, "set", "left").select("k", F.coalesce("root", "set").alias("root"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest id.
-
-    Columns stay. Rows are told apart by id and text, so each group keeps exactly
-    one row whatever the ids: null ids come last, then the text's hash decides.
-    """
-    return keep_one(docs, grouped(docs, text_col), id_col, text_col)
