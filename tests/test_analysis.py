@@ -1,6 +1,7 @@
 """The chain from files to the final list, on small projects of our own."""
 
 import dataclasses
+import json
 import shutil
 
 import pytest
@@ -224,6 +225,19 @@ def test_traversal(spark, tmp_path):
     assert io[3] == ([6], [4, 5], False, False) and io[6] == ([], [3], True, False) and io[5] == ([3], [], False, True)
 
 
+def test_commands_at_once_get_their_own_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a.py")], "id long, file string")
+    one, two = (Review(spark, str(tmp_path), rows, rows.select("id")) for _ in range(2))
+    assert [one._step(), two._step(), one._step()] == [1, 2, 3]
+    two._append([("hand", 1, None, None)])
+    assert [r["seq"] for r in one.log().collect()] == [4] and one._step() == 5
+
+
+def test_manifest_lines(spark, project):
+    lines = [json.loads(r["value"]) for r in scans.manifest_lines(project.snapshot, project.quarantined, project.missing).collect()]
+    assert {(x["is"], x["path"]) for x in lines} == {("copied", f) for f in FILES} | {("quarantined", "bad.sh"), ("missing", "lost.py")}
+
+
 def test_floor_join_knows_one_predecessor(spark):
     spans = spark.createDataFrame([(1, "f", 1, 10), (2, "f", 3, 4), (3, "f", 3, 3), (4, "g", 2, 2)], "id long, file string, first int, last int")
     asked = spark.createDataFrame([("f", 2), ("f", 3), ("f", 4), ("f", 6), ("g", 1), ("g", 2), ("h", 1), (None, 1), ("f", None)], "file string, line int")

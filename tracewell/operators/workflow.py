@@ -132,10 +132,20 @@ class Review:
 
     def _append(self, rows: list[tuple] | DataFrame) -> None:
         """rows of (type, id, other, text): all get the next sequence number, so one append is one step."""
-        seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        seq = self._step()
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, "type string, id long, other long, text string")
         df.select(F.lit(seq).cast("long").alias("seq"), "type", "id", "other", "text").write.mode("append").parquet(f"{self.folder}/log")
 
+    def _step(self) -> int:
+        """A sequence number of this command's own: the first whose mark it makes itself, as commands may run at once."""
+        seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        jvm = self.spark.sparkContext._jvm
+        mark = lambda: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/steps/{seq}")
+        fs = mark().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        while not fs.createNewFile(mark()):
+            seq += 1
+        return seq
+
     def states(self) -> DataFrame:
         return flags(self.statements, self.log())
 

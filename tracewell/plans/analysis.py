@@ -144,11 +144,12 @@ def run(spark: SparkSession, root: str, folder: str, settings: str | None = None
     aliases, broken = scans.name_map(read("machine/aliases.txt"), slash=True)
     scans.refuse(broken)
     exports = None
-    if any(f.rpartition("/")[2].startswith("edges-") for f in scans._listing(spark, folder)):
+    if scans.some_match(spark, f"{folder}/machine/edges-*.tsv"):
         exports, broken = scans.edge_exports(spark, f"{folder}/machine", _prefixes(spark, folder))
         scans.refuse(broken)
     found = derive(project, entries, [(r["name"], r["target"]) for r in aliases.orderBy("pos").collect()], exports, settings)
     save(project, folder, entries=entries.select("id"), demoted=found["demoted"], links=found["links"], loaded=found["loaded"], imports=found["imports"])
+    scans.manifest_lines(project.snapshot, project.quarantined, project.missing).write.mode("overwrite").text(f"{folder}/manifest.jsonl")
     review = Review(spark, folder, project.statements, entries, found["demoted"])
     review.fill(found["links"], found["graphs"], project.manifest)
     review.walk()

@@ -6,7 +6,6 @@ detail) is empty where the input keeps the contract; `refuse` raises the first.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
@@ -81,7 +80,7 @@ def tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     path = F.regexp_replace(F.col("path"), "^(file:)/+", "$1/")
     rows = raw.select(F.substring(path, F.lit(len(prefix) + 1), F.length(path)).alias("path"), *(["content"] if content else []))
     # a scan leaves out empty files and names that begin with `_` or `.`, so these are read by their paths
-    listed = spark.createDataFrame([(f,) for f in _listing(spark, root)], "full string")
+    listed = spark.createDataFrame([(f,) for f in _left_out(spark, root)], "full string")
     named = F.regexp_replace("full", "^(file:)/+", "$1/")
     rest = listed.select("full", F.substring(named, F.lit(len(prefix) + 1), F.length(named)).alias("path")).join(rows.select("path"), "path", "left_anti")
     rest = rest.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/"))
@@ -89,17 +88,27 @@ def tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     return rows.where(~F.col("path").rlike(r"(^|/)(\.git|node_modules)/")).unionByName(rest)
 
 
-def _listing(spark: SparkSession, root: str) -> list[str]:
-    """Paths of all files below root, as the file system names them."""
+def _left_out(spark: SparkSession, root: str) -> list[str]:
+    """Paths, as the file system names them, of the files below root that a scan leaves out."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(root)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
     out = []
     while files.hasNext():
-        out.append(files.next().getPath().toString())
+        f = files.next()
+        path = f.getPath().toString()
+        below = path.split(root.rstrip("/") + "/", 1)[-1]
+        if f.getLen() == 0 or any(p.startswith(("_", ".")) for p in below.split("/")):
+            out.append(path)
     return out
 
 
+def some_match(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path matches the glob pattern."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = b.to_pydict()
@@ -127,11 +136,13 @@ def snapshot(listed: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def manifest(copied: DataFrame, quarantined: DataFrame, missing: DataFrame) -> str:
-    """D4 as JSON: a sink for people; the engine keeps the tables."""
-    files = {r["path"]: r["sha256"] for r in copied.select("path", "sha256").toLocalIterator()}
-    bad = [{"file": r["file"], "reason": r["reason"]} for r in quarantined.orderBy("file").toLocalIterator()]
-    return json.dumps({"files": dict(sorted(files.items())), "missing": [r["path"] for r in missing.orderBy("path").toLocalIterator()], "quarantined": bad}, indent=1)
+def manifest_lines(copied: DataFrame, quarantined: DataFrame, missing: DataFrame) -> DataFrame:
+    """D4 (value): a line of JSON for each file: a sink for people; the engine keeps the tables."""
+    files = copied.select(F.lit("copied").alias("is"), "path", "sha256", F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("string")
+    files = files.unionByName(quarantined.select(F.lit("quarantined").alias("is"), F.col("file").alias("path"), none.alias("sha256"), "reason"))
+    files = files.unionByName(missing.select(F.lit("missing").alias("is"), "path", none.alias("sha256"), none.alias("reason")))
+    return files.orderBy("is", "path").select(F.to_json(F.struct("is", "path", "sha256", "reason")).alias("value"))
 
 
 def snapshot_lines(copied: DataFrame, exts: tuple[str, ...] = S.SCRIPT + S.STYLE) -> DataFrame:
