@@ -1,7 +1,9 @@
 """URL verdicts: a block list's longest rule, else gradient-boosted trees.
 
 Features are lexical: length, depth, digit ratio, entropy, parameter counts and
-statistics of the host's suffix. Trees are grown level by level from histograms
+statistics of suffixes: how often labelled urls of the same top-level domain, the same
+last two host labels and the same first part of the path are blocked, mixed with PRIOR
+rows that tell nothing. Trees are grown level by level from histograms
 of gradients, each of them one aggregation over the binned training rows, so
 that only node x feature x bin sums come to the driver; a tree is then a nest of
 CASE expressions. All of it is DataFrame expressions.
@@ -22,7 +24,12 @@ SAMPLE = 50_000
 BINS, TREES, DEPTH, RATE, RIDGE = 16, 8, 3, 0.4, 1.0
 #: Prior rows that a suffix's statistics are mixed with.
 PRIOR = 20.0
-FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "mark_ratio", "entropy", "parameters", "fragment", "longest_part", "suffix_share", "suffix_rows")
+FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "mark_ratio", "entropy", "parameters", "fragment", "longest_part")
+#: What labelled rows are counted by.
+STATISTICS = ("suffix", "domain", "part")
+ALL = (*FEATURES, *[f"{s}_{x}" for s in STATISTICS for x in ("share", "rows")])
+#: Values of a statistic up to which its table is sent to all executors.
+SMALL = 100_000
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -132,10 +139,12 @@ def _below(value: Column):
 
 
 def _grow(scored: DataFrame, edges: list[list[float]]):
-    """One tree: a level is one aggregation of g and h by node, feature and bin."""
+    """One tree: a level is one aggregation of g and h by node, feature and bin. The last
+    level's sums are those of the two sides of the splits before."""
     splits: dict[str, tuple[int, int]] = {}
+    sides: dict[str, tuple[float, float]] = {}
     leaves: dict[str, float] = {}
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH):
         open_nodes = [s for s in ([""] if depth == 0 else [p + c for p in splits if len(p) == depth - 1 for c in "lr"])]
         if not open_nodes:
             break
@@ -152,17 +161,22 @@ def _grow(scored: DataFrame, edges: list[list[float]]):
             own = [r for r in sums if r["node"] == s]
             g, h = sum(r["g"] for r in own if r["f"] == 0), sum(r["h"] for r in own if r["f"] == 0)
             best = (1e-6, -1, -1)
-            for f in range(len(edges)) if depth < DEPTH else ():
+            for f in range(len(edges)):
                 gl = hl = 0.0
                 for r in sorted((r for r in own if r["f"] == f and r["b"] < len(edges[f])), key=lambda r: r["b"]):
                     gl, hl = gl + r["g"], hl + r["h"]
                     if hl > 1e-9 and h - hl > 1e-9:
                         gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
-                        best = max(best, (gain, f, r["b"]))
+                        if gain > best[0]:
+                            best = (gain, f, r["b"])
+                            sides[s + "l"], sides[s + "r"] = (gl, hl), (g - gl, h - hl)
             if best[1] >= 0:
                 splits[s] = best[1:]
             else:
                 leaves[s] = -RATE * g / (h + RIDGE)
+    for s, (g, h) in sides.items():
+        if len(s) == DEPTH:
+            leaves[s] = -RATE * g / (h + RIDGE)
 
     def build(prefix: str):
         if prefix in splits:
@@ -178,14 +192,16 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = RU
 
     risk is the trees' probability of `block`, which decides (from 0.5 on) where
     no rule fits. The trees learn from labelled(url, blocked 0/1), or else from
-    the pages that a rule fits, with its verdict as label. Null urls and urls
+    the pages that a rule fits, with its verdict as label; without any they tell nothing
+    and allow as much as they block. Null urls and urls
     without `://` have empty host and path and are judged by the trees; repeated
     rows are judged each; an empty table gives no rows; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
 
     def prepared(df: DataFrame) -> DataFrame:
-        parts = df.withColumn("host", host).withColumn("path", path).withColumn("suffix", F.substring_index("host", ".", -1))
+        parts = df.withColumn("host", host).withColumn("path", path)
+        parts = parts.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "part": F.regexp_extract("path", "^/([^/]*)", 1)})
         return parts.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
 
     rows = prepared(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
@@ -195,19 +211,26 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = RU
     known = rows.where("says is not null").withColumn("y", F.when(F.col("says") == "block", 1.0).otherwise(0.0))
     if labelled is not None:
         known = materialize(prepared(labelled.select("url", F.col("blocked").cast("double").alias("y")).where("y is not null")), "labelled")
-    per = known.groupBy("suffix").agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
-    total = per.agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).first()
+    total = known.agg(F.sum("y").alias("ones"), F.count("*").alias("n")).first()
     ones, zeros = max(total["ones"] or 0.0, 1.0), max((total["n"] or 0) - (total["ones"] or 0.0), 1.0)
     blocked, allowed = F.col("ones") / ones + PRIOR / (ones + zeros), (F.col("n") - F.col("ones")) / zeros + PRIOR / (ones + zeros)
-    per = materialize(per.select(F.col("suffix").alias("__s"), (blocked / (blocked + allowed)).alias("suffix_share"), F.log1p("n").alias("suffix_rows")), "suffixes")
-
-    def with_suffix(df: DataFrame) -> DataFrame:
-        return df.join(per, F.col("suffix") == F.col("__s"), "left").drop("__s").fillna({"suffix_share": 0.5, "suffix_rows": 0.0})
-
-    train = with_suffix(known)
+    tables = {}
+    for k in STATISTICS:
+        per = known.groupBy(k).agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
+        per = materialize(per.select(F.col(k).alias("__s"), (blocked / (blocked + allowed)).alias(f"{k}_share"), F.log1p("n").alias(f"{k}_rows")), k)
+        tables[k] = F.broadcast(per) if per.count() <= SMALL else per
+
+    def with_statistics(df: DataFrame) -> DataFrame:
+        for k, per in tables.items():
+            df = df.join(per, F.col(k) == F.col("__s"), "left").drop("__s").fillna({f"{k}_share": 0.5, f"{k}_rows": 0.0})
+        return df
+
+    train = with_statistics(known)
     if (total["n"] or 0) > sample:
         train = train.where(F.pmod(F.xxhash64("host", "path", *FEATURES[:2]), F.lit(1_000_003)) < 1_000_003 * sample / total["n"])
-    model = fit(train, list(FEATURES), "y")
-    out = with_suffix(rows).withColumn("risk", model.probability([F.col(k) for k in FEATURES]))
+    # learned with the host's statistics hidden too, so that hosts of a new suffix are told by the rest
+    hidden = train.withColumns({f"{k}_{x}": F.lit(0.5 if x == "share" else 0.0) for k in ("suffix", "domain") for x in ("share", "rows")})
+    model = fit(train.unionByName(hidden), list(ALL), "y")
+    out = with_statistics(rows).withColumn("risk", model.probability([F.col(k) for k in ALL]))
     verdict = F.coalesce("says", F.when(F.col("risk") >= 0.5, F.lit("block")).otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "risk")
