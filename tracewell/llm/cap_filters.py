@@ -38,13 +38,14 @@ from tracewell.llm.components import components
 from tracewell.runtime import materialize
 
 #: Words of each block's code and filters of a vector, for labels of up to so many classes.
-CODES = ((50_000, 1024, 64), (800_000, 4096, 96), (12_800_000, 16384, 144), (2**62, 65536, 216))
+CODES = ((2_000, 1024, 64), (8_000, 2048, 72), (32_000, 4096, 84), (500_000, 8192, 100), (8_000_000, 16384, 120), (2**62, 65536, 180))
 LEAST = 32
 SEED = 11
 #: Angles are told apart beyond this.
 CLOSE = 1e-7
-#: Share of the classes that a round has to group for another round.
-ROUND = 0.01
+#: Filters that a class has to share with whom it joins, at least, and the share of the
+#: classes whose choice leads no group yet from which another round is made.
+VOTES, ROUND = 8, 0.01
 
 
 def code_of(classes: int) -> tuple[int, int]:
@@ -140,8 +141,9 @@ def _angle(cosine: Column) -> Column:
 def grouped(rows: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """(cls, lead, turn): each class's group and its angle to it, by the filters of rows(k, cls).
 
-    A class proposes the least class that most of its filters name. It joins that one if
-    it leads itself and is within half of least's angle. Rounds go on while they group many.
+    A class proposes the least class that most of its filters name, VOTES at least. It joins
+    that one if it leads itself and is within half of least's angle. Rounds go on while many
+    propose a class that does not lead itself. Who joins none is a group of its own.
     """
     half = math.cos(math.acos(least) / 2 - CLOSE)
     total = max(1, vectors.count())
@@ -149,18 +151,16 @@ def grouped(rows: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     free = rows
     while True:
         mins = free.groupBy("k").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-        votes = free.join(mins, "k").groupBy("cls", "lead").agg(F.count("*").alias("n"))
-        said = votes.groupBy("cls").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-        said = materialize(said, "said")
-        first = said.where("cls = lead").select("lead")
-        asked = said.where("cls <> lead").join(first, "lead", "left_semi")
+        votes = free.join(mins, "k").groupBy("cls", "lead").agg(F.count("*").alias("n")).where(F.col("n") >= VOTES)
+        said = materialize(votes.groupBy("cls").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead")).where("cls <> lead"), "said")
+        follow = said.select(F.col("cls").alias("lead")).distinct()
+        asked = said.join(follow, "lead", "left_anti")
         new = _cosine(asked, vectors, "cls", "lead").where(F.col("cosine") >= half)
         new = materialize(new.select(F.col("a").alias("cls"), F.col("b").alias("lead"), _angle(F.col("cosine")).alias("turn")), "led")
-        n = new.count()
         led = led.unionByName(new)
-        if n <= ROUND * total:
+        if said.join(follow, "lead", "left_semi").count() <= ROUND * total:
             break
-        # members ask no more, and who leads stays a leader: its own row names it
+        # members ask no more
         free = materialize(free.join(new.select("cls"), "cls", "left_anti"), "free")
     alone = vectors.select("cls").join(led.select("cls"), "cls", "left_anti")
     return led.unionByName(alone.select("cls", F.col("cls").alias("lead"), F.lit(0.0).alias("turn")))
@@ -191,21 +191,28 @@ def linked(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     met = met.join(side("a"), "a").join(side("b"), "b").withColumn("verdict", verdict(_angle(F.col("cosine")), F.col("ra") + F.col("rb")))
     met = materialize(met.where("verdict <> 'none'"), "met")
     # members of a against the centre of b, then member against member
-    inside = met.where("verdict = 'some'").join(members.select(F.col("lead").alias("a"), F.col("cls").alias("x"), F.col("size").alias("nx")), "a")
-    each = _cosine(inside, vectors, "x", "b").select(F.col("a").alias("x"), "b", "cosine")
-    each = inside.select("x", "a", "b", "nx", "nb", "rb").join(each, ["x", "b"]).withColumn("verdict", verdict(_angle(F.col("cosine")), F.col("rb")))
-    each = materialize(each.where("verdict <> 'none'"), "each")
-    both = each.where("verdict = 'some'").join(members.select(F.col("lead").alias("b"), F.col("cls").alias("y"), F.col("size").alias("ny")), "b").select("x", "y", "a", "b", "nx", "ny")
-    last = _cosine(both, vectors, "x", "y").where(F.col("cosine") >= least).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    last = materialize(both.join(last, ["x", "y"]), "last")
-    # what each class, or each member of a group, gets
-    whole, some = met.where("verdict = 'all'"), each.where("verdict = 'all'")
+    whole, some, last = met.where("verdict = 'all'"), None, None
+    inside = met.where("verdict = 'some'")
+    if not inside.isEmpty():
+        inside = inside.join(members.select(F.col("lead").alias("a"), F.col("cls").alias("x"), F.col("size").alias("nx")), "a")
+        each = _cosine(inside, vectors, "x", "b").select(F.col("a").alias("x"), "b", "cosine")
+        each = inside.select("x", "a", "b", "nx", "nb", "rb").join(each, ["x", "b"]).withColumn("verdict", verdict(_angle(F.col("cosine")), F.col("rb")))
+        each = materialize(each.where("verdict <> 'none'"), "each")
+        some = each.where("verdict = 'all'")
+        both = each.where("verdict = 'some'").join(members.select(F.col("lead").alias("b"), F.col("cls").alias("y"), F.col("size").alias("ny")), "b").select("x", "y", "a", "b", "nx", "ny")
+        exact = _cosine(both, vectors, "x", "y").where(F.col("cosine") >= least).select(F.col("a").alias("x"), F.col("b").alias("y"))
+        last = materialize(both.join(exact, ["x", "y"]), "last")
+    # what each member of a group, or each class, gets
     add = lambda df, to, n: df.select(F.col(to).alias("to"), F.col(n).alias("n"))
-    to_groups = add(whole, "a", "nb").unionByName(add(whole, "b", "na")).unionByName(add(some, "b", "nx")).groupBy("to").agg(F.sum("n").alias("shared"))
-    to_classes = add(some, "x", "nb").unionByName(add(last, "x", "ny")).unionByName(add(last, "y", "nx")).groupBy("to").agg(F.sum("n").alias("own"))
-    counted = members.join(groups.select("lead", "n"), "lead").join(to_groups.withColumnRenamed("to", "lead"), "lead", "left").join(to_classes.withColumnRenamed("to", "cls"), "cls", "left")
+    to_groups, ends = add(whole, "a", "nb").unionByName(add(whole, "b", "na")), whole.select("a", "b")
+    counted = members.join(groups.select("lead", "n"), "lead").withColumn("own", F.lit(0).cast("long"))
+    if some is not None:
+        to_groups, ends = to_groups.unionByName(add(some, "b", "nx")), ends.unionByName(some.select("a", "b")).unionByName(last.select("a", "b"))
+        to_classes = add(some, "x", "nb").unionByName(add(last, "x", "ny")).unionByName(add(last, "y", "nx")).groupBy("to").agg(F.sum("n").alias("own"))
+        counted = counted.drop("own").join(to_classes.withColumnRenamed("to", "cls"), "cls", "left")
+    shared = to_groups.groupBy("to").agg(F.sum("n").alias("shared")).withColumnRenamed("to", "lead")
     others = F.col("n") - F.col("size") + F.coalesce("shared", F.lit(0)) + F.coalesce("own", F.lit(0))
-    return counted.select("cls", "lead", others.alias("others")), whole.select("a", "b").unionByName(some.select("a", "b")).unionByName(last.select("a", "b")).distinct()
+    return counted.join(shared, "lead", "left").select("cls", "lead", others.alias("others")), ends.distinct()
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
