@@ -445,30 +445,33 @@ def _within(words: Vocabulary):
             seen = np.where(kinds[at] == h, n[at], 0)
         lp = words.within(h, seen).astype(np.float32)
         ends = np.cumsum([len(x) // 8 for x in asked.column("words").to_pylist()])
-        return pa.table({"chunk": asked.column("chunk"), "at": asked.column("at"), "lp": pa.array([x.tobytes() for x in np.split(lp, ends[:-1])] if len(ends) else [], pa.binary())})
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x, ends[:-1])] if len(ends) else [], pa.binary())
+        return pa.table({"chunk": asked.column("chunk"), "at": asked.column("at"), "lp": cut(lp), "once": cut((seen == 1).astype(np.uint8))})
 
     return run
 
 
 def _scored(chunk: pa.Table, rare: pa.Table) -> pa.Table:
-    out: dict[str, list] = {"doc_id": [], "n_tokens": [], "pll": [], "perplexity": []}
+    out: dict[str, list] = {"doc_id": [], "n_tokens": [], "pll": [], "perplexity": [], "n_once": []}
     for r in chunk.to_pylist():
         n, total = np.frombuffer(r["n"], np.int64), np.frombuffer(r["total"], np.float64)
-        lp = np.zeros(r["words"])
-        lp[_joined(rare, "at", np.uint32)] = _joined(rare, "lp", np.float32)
-        of = np.repeat(np.arange(len(n)), np.frombuffer(r["others"], np.int64))
-        total = total + np.bincount(of, lp[_places(r)], len(n))
+        lp, once, at = np.zeros(r["words"]), np.zeros(r["words"]), _joined(rare, "at", np.uint32)
+        lp[at], once[at] = _joined(rare, "lp", np.float32), _joined(rare, "once", np.uint8)
+        of, place = np.repeat(np.arange(len(n)), np.frombuffer(r["others"], np.int64)), _places(r)
+        total = total + np.bincount(of, lp[place], len(n))
+        out["n_once"] += np.bincount(of, once[place], len(n)).astype(np.int64).tolist()
         out["doc_id"] += r["ids"]
         out["n_tokens"] += n.tolist()
         out["pll"] += total.tolist()
         out["perplexity"] += [float(np.exp(min(-t / k, 700.0))) if k else None for t, k in zip(total, n)]
-    return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "n_tokens") else pa.float64()) for k, v in out.items()})
+    return pa.table({k: pa.array(v, pa.int64() if k in ("doc_id", "n_tokens", "n_once") else pa.float64()) for k, v in out.items()})
 
 
 def score(tokens: DataFrame, model: Network) -> DataFrame:
-    """(doc_id, n_tokens, pll, perplexity): pll is the summed log probability (nats) of
+    """(doc_id, n_tokens, pll, perplexity, n_once): pll is the summed log probability (nats) of
     every token of the whole text given its window, words outside the network's
-    vocabulary by class and share of the class; perplexity is exp(-pll / n_tokens).
+    vocabulary by class and share of the class; perplexity is exp(-pll / n_tokens);
+    n_once counts the tokens whose word the corpus holds once: few of them are evidence.
 
     tokens: tokenised documents, of the corpus or others. Null and empty texts have
     no tokens, pll 0 and a null perplexity. Repeated rows are scored each; an empty
@@ -494,5 +497,5 @@ def score(tokens: DataFrame, model: Network) -> DataFrame:
     classes = tokens.select("chunk", "ids", "n", "words", "low", "high").mapInArrow(run, "chunk long, ids array<long>, n binary, total binary, words long, others binary, low binary, high binary")
     known = words.table if words.table is not None else tokens.select(F.lit(0).alias("parcel"), "words", F.col("counts").alias("n")).where("false")
     asked = _parcels(tokens, words.parcels, words.sorted).select("parcel", "chunk", "words", "at")
-    rare = asked.groupBy("parcel").cogroup(known.groupBy("parcel")).applyInArrow(_within(words), "chunk long, at binary, lp binary")
-    return classes.groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(_scored, "doc_id long, n_tokens long, pll double, perplexity double")
+    rare = asked.groupBy("parcel").cogroup(known.groupBy("parcel")).applyInArrow(_within(words), "chunk long, at binary, lp binary, once binary")
+    return classes.groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(_scored, "doc_id long, n_tokens long, pll double, perplexity double, n_once long")
