@@ -8,7 +8,7 @@ what a skew-split join reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.runtime import free_names, materialize, release
@@ -46,17 +46,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text, null as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: groups(k, root) names that of every text's xxhash64 (null as empty).
+    """docs with one row of each group: groups(k, root) names that of every text's text_key.
 
     It is the row of the smallest id; null ids come last, then the text's hash decides.
     """
     hashed, gone_id, gone_key = free_names(docs, "k", "gone_id", "gone_key")
-    k = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    k = text_key(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), k.alias("k")).groupBy("id", "k").agg(F.count("*").alias("n"))
     rows = materialize(rows.join(groups, "k"), "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("x")).select("root", F.col("x.id").alias("first_id"), F.col("x.k").alias("first_k"))
-    judged = rows.join(first, "root").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k"))).alias("kept"))
+    # written, so that the join's exchange can be split where a group is large
+    judged = rows.join(materialize(first, "first"), "root").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k"))).alias("kept"))
     judged = materialize(judged, "judged")
     gone = judged.where("not kept").select(F.col("id").alias(gone_id), F.col("k").alias(gone_key))
     marked = docs.withColumn(hashed, k)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import components
+from tracewell.llm.components import components, text_key
 from tracewell.llm.simhash import fingerprint_links, fingerprint_of
 from tracewell.runtime import materialize
 
@@ -133,10 +133,10 @@ def _grouped(table: pa.Table) -> pa.Table:
 
 
 def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(k, root): each different text by xxhash64, and its group of near copies. Null texts count as empty."""
+    """(k, root): each different text by text_key, and its group of near copies. Null texts count as empty."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(t).alias("k"), t.cast("binary").alias("t"))
-    found = materialize(texts.mapInArrow(_keys, "k long, set long, fp long, keys array<long>"), "bands")
+    texts = docs.select(text_key(F.col(text_col)).alias("k"), t.cast("binary").alias("t"))
+    found = materialize(texts.mapInArrow(_keys, "k string, set long, fp long, keys array<long>"), "bands")
     each = found.groupBy("set").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min("k").alias("one"))
     each = materialize(each, "sets")
     balls = materialize(each.groupBy("fp").agg(F.min("set").alias("rep")), "balls")
