@@ -232,7 +232,7 @@ def test_ball_links_are_candidates_too(spark, monkeypatch):
     base = [f"w{i}" for i in range(2000)]
     near, far = [*base[:-1], "end"], [f"v{i}" for i in range(2000)]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
-    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([t.encode() for _, t in rows])], names=["k", "t"])
+    batch = pa.record_batch([pa.array(["1", "2", "3"]), pa.array([t.encode() for _, t in rows])], names=["k", "t"])
     out = next(near_copies._keys(iter([batch]))).to_pydict()
     assert (out["fp"][0] ^ out["fp"][1]).bit_count() <= 3 and (out["fp"][0] ^ out["fp"][2]).bit_count() > 3
     got = near_copies.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()

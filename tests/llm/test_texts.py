@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewell.llm import byte_bpe, language_id, masked_lm, mixing, private_data, quality, url_filter
+from tracewell.runtime import materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -37,8 +38,13 @@ def test_bpe_equals_the_library(codecs, text):
 
 
 def test_bpe_rows(spark, codecs):
-    texts = [None, "", "<|endoftext|> ⁇unknown ▁x", "a" * 5000, " \n\t  x", "naïve 日本 😀"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = [None, "", "<|endoftext|> ⁇unknown ▁x", "a" * 5000, " \n\t  x", "naïve 日本 😀", "long words of all kinds " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as ids", "'x' as n_tokens")
+    odd = spark.createDataFrame([(None, "x y"), (3, "z"), (3, "z")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), len(r["ids"])) for r in byte_bpe.encode_documents(odd, VOCABULARY, public_tokenizers.PATTERN).collect()) == [("3", 1), ("3", 1), ("None", 2)]
+    for f in (byte_bpe.digest_documents, byte_bpe.encode_documents):
+        assert f(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.decode_documents(byte_bpe.encode_documents(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN).count() == 0
     for r in byte_bpe.digest_documents(docs, VOCABULARY, public_tokenizers.PATTERN).collect():
         t = texts[r["doc_id"]] or ""
         ids = codecs[1].encode_ordinary(t)
@@ -566,6 +572,8 @@ def test_rare_words_have_their_share_of_a_class(spark, monkeypatch):
     assert share[c]["often"] > 2 * max(v for w, v in share[c].items() if w != "often")
     strange = next(w for w in (f"zz{i}" for i in range(10**6)) if int(words.classes(masked_lm.hashes([w.encode()]))[0]) == c)
     asked = spark.createDataFrame([(1, "v1 often v2"), (1, "v1 often v2"), (2, f"v1 {strange} v2")], "doc_id long, text string")
+    own = {r["doc_id"]: (r["n_tokens"], r["n_once"]) for r in masked_lm.score(tokens, model).collect()}
+    assert own == {0: (masked_lm.WORDS, 0), 1: (masked_lm.WORDS, 0), 2: (masked_lm.WORDS + 2, 0), 3: (2000, 2000), 4: (0, 0)}
     got = sorted((r["doc_id"], r["pll"]) for r in masked_lm.score(masked_lm.tokenised(asked), model).collect())
     classes = model.scores(model.tokens("v1 often v2"), np.array([3]))[0]
     assert [p for _, p in got] == pytest.approx([classes + np.log(share[c]["often"])] * 2 + [classes + np.log(new[c])], rel=1e-5)
@@ -589,3 +597,30 @@ def test_pipeline_stages(spark):
     assert d.columns == docs.columns and {r["doc_id"] for r in d.collect()} <= set(range(60))
     e = p.encoded(spark, d, "")
     assert e.count() == d.count() and e.where("not round_trip").count() == 0
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Nulls anywhere, repeated rows, a very long text, clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(18)
+    words = "the of and to in that is was for it with as his on be at by this".split()
+    rows = [(i if i % 7 else None, " ".join(rng.choice(words, 40)) + f" n{i}", "en" if i % 5 else None, f"s{i % 2}" if i % 3 else None, 1) for i in range(60)]
+    rows += [rows[1], rows[1], (500, None, None, None, None), (501, "", "en", "s0", 0), (502, " \n", "en", "s0", 2), (503, " ".join(rng.choice(words, 120_000)) + " a.b@c.de", "en", "s1", 5), (504, rows[3][1], "en", "s1", 9)]
+    clash = "k key keys spans found_key lang_pred lang_rejected shard position copy taken size h s part gone_id".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"doc_id as {c}" for c in clash])
+    kept = [docs.count()]
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns, name
+        docs = materialize(after, name)
+        kept.append(docs.count())
+        assert docs.where("doc_id is not null and not (k <=> doc_id and position <=> doc_id)").count() == 0
+    assert kept[1] == kept[0] - 3 and kept[2] == kept[1] - 3 and kept[3] == kept[2]
+    assert docs.where("text like '%@%'").count() == 0
+    out = p.encoded(spark, docs, "")
+    assert out.count() == docs.count() > 0 and out.where("not round_trip").count() == 0
+    docs = docs.limit(0)
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0, name

@@ -126,7 +126,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     """(doc_id, ids array<int>, n_tokens, round_trip): the ids of every whole text,
     and whether they decode to the text's bytes.
 
-    Null and empty texts have no ids. Rows that repeat are encoded each.
+    Null and empty texts have no ids, null ids stay. Rows that repeat are encoded each, very
+    long texts whole; an empty table gives no rows; other columns are not read.
     """
     name = _distributed(docs, vocabulary)
 
@@ -142,7 +143,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, text): the texts of (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text): the texts of (doc_id, ids); a null list gives an empty text, bytes that are
+    no UTF-8 are replaced; rows that repeat are decoded each; an empty table gives no rows."""
     name = _distributed(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +160,8 @@ def digest_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding every whole text and decoding its ids.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the
-    decoded bytes. Null texts count as empty; an empty table gives no rows;
-    other columns are not read.
+    decoded bytes. Null texts count as empty, null ids stay; rows that repeat are encoded
+    each, very long texts whole; an empty table gives no rows; other columns are not read.
     """
     name = _distributed(docs, vocabulary)
 

@@ -88,7 +88,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_cap_filters, op4_topk, op5_quality, op6_mixing, op7_private_data, op8_lm_score, op9_byte_bpe, op10_language_id)}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 takes from rules alone, for which there is SQL."""
+    from tracewell.llm.url_filter import RULES, host_and_path, rule_of
+
+    host, path = host_and_path(F.col("url"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, says = rule_of(F.col("host"), F.col("path"), RULES)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"))
+
+
+QUERIES = {f.__name__: f for f in (url_rules, op1_simhash, op2_url_filter, op3_cap_filters, op4_topk, op5_quality, op6_mixing, op7_private_data, op8_lm_score, op9_byte_bpe, op10_language_id)}
+_RULES = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) r(rh, rp, says)),
+f AS (SELECT page_id, arg_max({'rule': rh || rp, 'says': says}, length(rh || rp)) AS x FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, x.rule AS rule, x.says AS says FROM h LEFT JOIN f ON f.page_id = h.page_id
+"""
 #: Classes of equal vectors are not needed here: all pairs of a label are compared.
 _OP3 = """
 WITH RECURSIVE v AS (
@@ -155,4 +172,4 @@ SELECT d.doc_id, d.size, q.size AS source_size, q.target,
 FROM d JOIN q ON q.s IS NOT DISTINCT FROM d.s JOIN l3 ON l3.s IS NOT DISTINCT FROM d.s
 """
 )
-ORACLE: dict[str, str] = {"op6_mixing": _OP6, "op3_cap_filters": _OP3, "op4_topk": _OP4}
+ORACLE: dict[str, str] = {"url_rules": _RULES, "op6_mixing": _OP6, "op3_cap_filters": _OP3, "op4_topk": _OP4}
