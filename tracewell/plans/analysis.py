@@ -190,7 +190,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("run", "walk"):
         if a.command == "walk":
             review.walk()
-        graph.state_counts(review.states()).orderBy("machine_state").show()
+        states = review.states()
+        graph.state_counts(states).orderBy("machine_state").show()
+        table = lambda n: spark.read.parquet(f"{a.folder}/tables/{n}")
+        outside = table("imports").where("verdict = 'outside'").select("written").distinct()
+        print("imports of no file:", *[r["name"] for r in report.named(outside, "written", report.NAMED_IMPORTS).collect()])
+        idle = graph.coverage(states, table("loaded"), review.live_entries()).where("not walked")
+        print("live files without a reached statement:", *[r["name"] for r in report.named(idle, "file", report.NAMED_FILES).collect()])
     elif a.command == "reset":
         review.reset(a.confirm)
     elif a.command == "next":

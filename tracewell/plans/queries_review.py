@@ -313,3 +313,108 @@ def sorted_sink(spark, d):
         base += r["n"]
     known = spark.createDataFrame(table, "f string, base long, least long")
     return per.join(F.broadcast(known), "f").select((F.col("base") + F.col("i") - F.col("least") + 1).alias("place"), F.col("value").alias("line"))
+
+
+# --- whole projects, written to the shared folder -------------------------------------
+
+
+def _write(spark, files: dict[str, bytes]) -> str:
+    """A folder of these small files; returns its path."""
+    root = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, content in files.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(content), 0, len(content))
+        out.close()
+    return root
+
+
+def _nation_rows(spark, d) -> list:
+    return read_table(spark, d, "nation").orderBy("n_nationkey").collect()  # the nations
+
+
+TREE = """WITH k AS (SELECT n_nationkey AS k, n_nationkey % 5 AS m FROM nation),
+t AS (SELECT k, m, CASE m WHEN 0 THEN 'a/n' || k || '.py' WHEN 1 THEN 'a/_n' || k || '.ts' WHEN 2 THEN '.n' || k || '/x.css' WHEN 3 THEN 'node_modules/n' || k || '.js' ELSE 'b/n' || k || '.sh' END AS path FROM k)"""
+
+
+def _tree(spark, d) -> tuple[str, list[str]]:
+    """Files of five kinds: plain, with an underscore, in a folder with a dot, in node_modules, and, empty or of odd bytes, scripts."""
+    files = {}
+    for r in _nation_rows(spark, d):
+        k = r["n_nationkey"]
+        path = (f"a/n{k}.py", f"a/_n{k}.ts", f".n{k}/x.css", f"node_modules/n{k}.js", f"b/n{k}.sh")[k % 5]
+        files[path] = f"x{k}\n".encode() if k % 5 < 4 else b"" if k % 2 else b"\xff\n"
+    return _write(spark, files), sorted(files)
+
+
+@query(f"{TREE} SELECT path FROM t WHERE m <> 3")
+def live_tree(spark, d):
+    """S17."""
+    return scans.tree(spark, _tree(spark, d)[0], content=False)
+
+
+@query(
+    f"""{TREE} SELECT path, CASE WHEN m = 4 AND k % 2 = 0 THEN 'quarantined' WHEN m = 3 THEN 'missing' ELSE 'copied' END AS state FROM t WHERE m > 0
+UNION ALL SELECT 'gone/n' || k || '.py', 'missing' FROM t WHERE m = 0"""
+)
+def snapshot_states(spark, d):
+    """A list that names all but the plain files, and some that are not there."""
+    from tracewell.plans import analysis
+
+    root, paths = _tree(spark, d)
+    listed = [p for p in paths if not p.startswith("a/n")] + [p.replace("a/", "gone/") for p in paths if p.startswith("a/n")]
+    project = analysis.take_snapshot(spark, root, spark.createDataFrame(list(enumerate(listed)), "pos int, line string"))
+    copied = project.manifest.select("path", F.lit("copied").alias("state"))
+    return copied.unionByName(project.missing.select("path", F.lit("missing").alias("state"))).unionByName(project.quarantined.select(F.col("file").alias("path"), F.lit("quarantined").alias("state")))
+
+
+@query("SELECT 'r' || n_regionkey AS graph, 'CALL' AS kind, 'src/n' || n_nationkey || '.py' AS from_file, n_nationkey::INTEGER AS from_line, CASE WHEN n_nationkey % 2 = 0 THEN 'src/lib/x.py' ELSE '' END AS to_file, CASE WHEN n_nationkey % 2 = 0 THEN 7 END::INTEGER AS to_line, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE '' END AS to_code FROM nation")
+def edge_export_files(spark, d):
+    """A file per region, of five and of twelve columns, with prefixes."""
+    files: dict[str, str] = {}
+    for r in _nation_rows(spark, d):
+        k = r["n_nationkey"]
+        to, line = ("lib\\x.py", "7") if k % 2 == 0 else ("", "")
+        row = ["CALL", f"n{k}.py", str(k), "m", "l", "c", to, line, "m", "l", r["n_name"], "v"] if k % 3 == 0 else ["CALL", f"n{k}.py", str(k), to, line]
+        name = f"edges-r{r['n_regionkey']}.tsv"
+        files[name] = files.get(name, "") + "\t".join(row) + "\n"
+    root = _write(spark, {k: v.encode() for k, v in files.items()} | {"other.tsv": b"no\n"})
+    prefixes, broken = scans.name_map(spark.createDataFrame([(i, f"r{i}\tsrc/") for i in range(5)], "pos int, line string"))
+    scans.refuse(broken)
+    rows, broken = scans.edge_exports(spark, root, prefixes)
+    scans.refuse(broken)
+    return rows.select("graph", "kind", "from_file", "from_line", "to_file", "to_line", "to_code")
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS c, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nxt, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS prv FROM nation)
+SELECT 'lib/r' || r || '.py' AS file, i::INTEGER AS first_line, i::INTEGER AS last_line, CASE WHEN c > 1 THEN 'unreached' ELSE 'untouched' END AS machine_state, nxt IS NOT NULL AS has_input, prv IS NOT NULL AS has_output, CASE WHEN r = 2 THEN 'changed' ELSE 'same' END AS live_file
+FROM n WHERE r <> (SELECT arg_min(n_regionkey, n_nationkey) FROM nation)"""
+)
+def final_list_of_a_project(spark, d):
+    """From files to the list; a function per nation calls the next of its
+    region's file, which so is its input, and main calls the first."""
+    from tracewell.plans import analysis
+
+    rows = _nation_rows(spark, d)
+    by: dict[int, list[int]] = {}
+    for r in rows:
+        by.setdefault(r["n_regionkey"], []).append(r["n_nationkey"])
+    first = rows[0]
+    text = lambda keys: "".join(f"def f{k}(): return {f'f{after}()' if after is not None else 1}\n" for k, after in zip(keys, [*keys[1:], None]))
+    files = {f"lib/r{r}.py": text(keys) for r, keys in by.items()}
+    files["main.py"] = f"from lib.r{first['n_regionkey']} import f{first['n_nationkey']}\n\nf{first['n_nationkey']}()\n"
+    root = _write(spark, {k: v.encode() for k, v in files.items()})
+    project = analysis.take_snapshot(spark, root, spark.createDataFrame(list(enumerate(files)), "pos int, line string"))
+    entries = project.statements.where("file = 'main.py' and first_line = 3").select("id")
+    found = analysis.derive(project, entries)
+    review = workflow.Review(spark, f"{shared_dir(spark)}/review-{uuid.uuid4().hex}", project.statements, entries, found["demoted"])
+    review.fill(found["links"], found["graphs"], project.manifest)
+    review.walk()
+    cases = review.sweep()
+    none = F.lit(None).cast("long").alias("other")
+    review._append(cases.select(F.lit("reopen").alias("type"), "id", none, F.lit("none").alias("text")))
+    live = scans.tree(spark, root).withColumn("content", F.when(F.col("path") == "lib/r2.py", F.concat("content", F.lit(b"#"))).otherwise(F.col("content")))
+    listed, _ = analysis.final_list(project, review, live, 10**6, found["links"])
+    return listed.select("file", "first_line", "last_line", "machine_state", (F.col("inputs") != "").alias("has_input"), (F.col("outputs") != "").alias("has_output"), "live_file")
