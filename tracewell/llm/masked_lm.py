@@ -46,7 +46,7 @@ WORDS = GROUPS * PLACES - BUCKETS
 DISCOUNT, UNSEEN = 0.5, 10
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 16
-RATE = 0.2
+RATE = 0.4
 BATCH = 16384
 #: Tokens of a chunk, about, and characters of a text that are split at once.
 CHUNK, CUT = 1_000_000, 1 << 20
