@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that disclose what the patterns found.
 
-Patterns find e-mail and IP addresses, card and phone numbers: the protected
-entities. Corpus co-occurrence then estimates how strongly each term of the texts
+Patterns find e-mail and IP addresses, card and phone numbers, and secrets (long runs
+of letters and digits, as keys and tokens are): the protected entities. Corpus co-occurrence then estimates how strongly each term of the texts
 that hold an entity reveals it. Counts are of whole documents: n(t), n(e), n(t,e)
 of N. With p(e) = n(e) / N and SUPPORT documents that tell nothing added to the
 term's, p(e|t) = (n(t,e) + SUPPORT p(e)) / (n(t) + SUPPORT). A term discloses an
@@ -38,8 +38,10 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Kinds that the method adds to those.
+ADDED = {"secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{32,}+"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[...]"}
+GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[...]"}
 #: What a term has to make of an entity's probability, and how many bits it has to tell about it.
 LIKELY, BITS = 2 / 3, 6.0
 #: Documents that tell nothing, added to those of each term.
@@ -115,11 +117,11 @@ def _is(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def base_spans(text: Column) -> Column:
-    """All patterns' spans by kind as in KINDS, then by start. text must not be null."""
-    need = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]")}
+def entity_spans(text: Column) -> Column:
+    """All patterns' spans by kind as in KINDS and ADDED, then by start. text must not be null."""
+    need = {"secret": text.rlike("[A-Za-z0-9]{32}"), "email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]")}
     none = F.array().cast(SPAN)
-    return F.concat(*[F.when(need[k], F.filter(matches(text, p, k), _check(k))).otherwise(none) for k, p in KINDS.items()])
+    return F.concat(*[F.when(need[k], F.filter(matches(text, p, k), _check(k))).otherwise(none) for k, p in (KINDS | ADDED).items()])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,13 +198,13 @@ def _free(spans: Column, terms: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likely: float = LIKELY, bits: float = BITS, support: float = SUPPORT) -> DataFrame:
     """(key, spans): the spans of each row that has any.
 
-    spans: array of (kind, s, e, m) by kind (patterns as in KINDS, then terms
-    that do not touch those), then start. Counts are over all documents; null
+    spans: array of (kind, s, e, m) by kind (patterns as in KINDS and ADDED, then
+    terms that do not touch those), then start. Counts are over all documents; null
     texts count as empty; equal rows have equal keys and spans, and the same key
     appears once. An empty table gives no rows; other columns are not read.
     """
     rows = _rows(docs, id_col, text_col)
-    found = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"])
+    found = rows.withColumn("spans", entity_spans(F.col("text"))).where(F.size("spans") > 0).dropDuplicates(["key"])
     found = materialize(found, "found")
     named = materialize(disclosing(found, rows, max(1, docs.count()), likely, bits, support), "named")
     out = found.select("key", "spans")
@@ -222,7 +224,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likely
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text).
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text), n_spans.
 
     Null and empty texts have no spans; rows that repeat each get a row; an empty
     table gives no rows; other columns are not read.
@@ -235,8 +237,8 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.concat_ws(",", F.transform(x, lambda m: F.concat_ws(":", m["kind"], m["s"].cast("string"), m["e"].cast("string"))))
 
     counts = [F.size(F.filter(spans, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    base = F.filter(spans, lambda x: x["kind"] != "term")
-    return rows.select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(spans).alias("spans"))
+    base = F.filter(spans, lambda x: x["kind"].isin(*KINDS))
+    return rows.select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def _between(spans: Column, length: Column) -> Column:
