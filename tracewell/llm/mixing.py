@@ -154,21 +154,21 @@ class Plan:
 
     def shards_of(self, rows: DataFrame, s: str, size: str, h: str, out: str) -> DataFrame:
         """rows with out, the list of shards of each time that a row is taken, by its columns s, size and h."""
-        names = free_names(rows, out, "s", "passes", "blocks", "cut", "extra", "more", "b", "drawn", "w")
-        out, source, passes, blocks, cut, extra, more, b, drawn, w = names
+        names = free_names(rows, out, "s", "passes", "blocks", "cut", "extra", "more", "b", "drawn", "w", "own_b", "own_h")
+        out, source, passes, blocks, cut, extra, more, b, drawn, w, own_b, own_h = names
         per = self.sources.select(*[F.col(x).alias(y) for x, y in zip(("s", "passes", "blocks", "cut", "extra", "more"), names[1:7])])
         joined = rows.join(_small(per), F.col(s).eqNullSafe(F.col(source))).drop(source).withColumn(b, _block(F.col(h), F.col(blocks)))
-        own = self.blocks.select(F.col("s").alias(source), F.col("b").alias("__b"), F.col("drawn").alias(drawn))
-        joined = joined.join(_small(own), F.col(s).eqNullSafe(F.col(source)) & (F.col(b) == F.col("__b")), "left").drop(source, "__b")
+        own = self.blocks.select(F.col("s").alias(source), F.col("b").alias(own_b), F.col("drawn").alias(drawn))
+        joined = joined.join(_small(own), F.col(s).eqNullSafe(F.col(source)) & (F.col(b) == F.col(own_b)), "left").drop(source, own_b)
         words = F.col(size)
         if self.whole is not None:
-            own = self.whole.select(F.col("s").alias(source), F.col("h").alias("__h"), F.col("w").alias(w))
-            joined = joined.join(own, F.col(s).eqNullSafe(F.col(source)) & (F.col(h) == F.col("__h")), "left").drop(source, "__h")
+            own = self.whole.select(F.col("s").alias(source), F.col("h").alias(own_h), F.col("w").alias(w))
+            joined = joined.join(own, F.col(s).eqNullSafe(F.col(source)) & (F.col(h) == F.col(own_h)), "left").drop(source, own_h)
             words = F.coalesce(F.col(w), words)
         chosen = (F.col(h) <= F.col(cut)) | F.array_contains(extra, F.col(h)) | F.exists(more, lambda x: (words <= x["most"]) & (F.col(h) <= x["upto"]))
         taken = F.transform(F.filter(drawn, lambda d: (d["pass"] < F.col(passes)) | chosen), lambda d: d["shard"])
         taken = F.when((F.col(size) > 0) & F.col(drawn).isNotNull(), taken).otherwise(F.array().cast("array<int>"))
-        return joined.withColumn(out, taken).select(*rows.columns, out)
+        return joined.withColumn(out, taken).select(*[F.col(f"`{c}`") for c in rows.columns], out)
 
 
 def _small(table: DataFrame) -> DataFrame:
