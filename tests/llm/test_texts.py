@@ -71,17 +71,22 @@ def base_spans(text):
     return ",".join(out)
 
 
+def entity_spans(text):
+    secrets = [m.span() for m in re.finditer("(?<![A-Za-z0-9])[A-Za-z0-9]{32,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return ",".join(filter(None, [base_spans(text), *[f"secret:{s}:{e}" for s, e in secrets]]))
+
+
 def test_base_spans(spark):
     rng = np.random.default_rng(1)
     pieces = ["a", ".", "@", "b-c", " ", "+", "4111111111111111", "1", "255.", "300", "-", "é", "😀", "(", ")", "x.y@z.w", "12 34", "_"]
-    texts = ["".join(rng.choice(pieces, rng.integers(1, 30))) for _ in range(400)] + ["", None, "9" * 30000, "a." * 20000 + "@b.c", "1 " * 20000, "+1 " * 9000, "4111 1111 1111 1111", "0001.002.3.255"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 30))) for _ in range(400)] + ["", None, "9" * 30000, "a." * 20000 + "@b.c", "1 " * 20000, "+1 " * 9000, "4111 1111 1111 1111", "0001.002.3.255", "key=" + "0a" * 20 + "!", "a" * 40, "1" * 40 + " " + "f" * 31 + "7", "x" * 20000 + "1", "é" + "a1" * 16 + "é"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = private_data.spans_of(docs, support=10**6).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        want = base_spans(texts[r["doc_id"]])
-        assert r["spans"] == want and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-        assert [r[f"n_{k}"] for k in BASE] == [want.count(k + ":") for k in BASE]
+        want, every = base_spans(texts[r["doc_id"]]), entity_spans(texts[r["doc_id"]])
+        assert r["spans"] == every and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in BASE] == [want.count(k + ":") for k in BASE] and r["n_spans"] == every.count(":") // 2
 
 
 def plain_spans(rows, likely, bits, support):
@@ -90,7 +95,7 @@ def plain_spans(rows, likely, bits, support):
     words = {i: {w.lower() for w in regex.findall(r"\p{L}{3,}", t)} for i, t in texts.items()}
     entities = {}
     for i, t in texts.items():
-        for x in filter(None, base_spans(t).split(",")):
+        for x in filter(None, entity_spans(t).split(",")):
             kind, s, e = x.split(":")
             entities.setdefault((kind, t[int(s) : int(e)].lower()), set()).add(i)
     total, named = len(rows), set()
@@ -102,7 +107,7 @@ def plain_spans(rows, likely, bits, support):
                 named.add(t)
     out = {}
     for i, t in texts.items():
-        base = list(filter(None, base_spans(t).split(",")))
+        base = list(filter(None, entity_spans(t).split(",")))
         taken = [tuple(map(int, x.split(":")[1:])) for x in base]
         found = [m.span() for m in regex.finditer(r"\p{L}{3,}", t) if m[0].lower() in named]
         out[i] = ",".join(base + [f"term:{s}:{e}" for s, e in found if not any(a < e and s < b for a, b in taken)])
@@ -111,7 +116,7 @@ def plain_spans(rows, likely, bits, support):
 
 def test_disclosing_terms_by_brute_force(spark):
     rng = np.random.default_rng(11)
-    contacts = [f"{a}.{b}@site{k}.org" for k, (a, b) in enumerate(zip(["ana", "zoltan", "mira", "oleg"], ["quill", "x", "stone", "berg"]))] + ["10.0.0.7", "+49 170 1234567"]
+    contacts = [f"{a}.{b}@site{k}.org" for k, (a, b) in enumerate(zip(["ana", "zoltan", "mira", "oleg"], ["quill", "x", "stone", "berg"]))] + ["10.0.0.7", "0123456789abcdef0123456789abcdef01"]
     owners = [["velvet", "Harbour"], ["cobalt"], ["velvet", "ember"], ["Tundra", "ember", "maple"], ["quartz"], ["saffron"]]
     common = [f"plain{chr(97 + i)}" for i in range(26)]
     rows = []
