@@ -219,6 +219,43 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
 
+def test_large_groups_are_split_alike(spark, monkeypatch):
+    """Chains, tight groups and far texts in one group of candidates: by pivots as in one task."""
+    rng = np.random.default_rng(19)
+    sets = []
+    for _ in range(2):
+        base = rng.integers(0, 2**62, 60, dtype=np.uint64)
+        for _ in range(14):  # chains that drift away, and texts around them
+            base = base.copy()
+            base[rng.choice(60, int(rng.integers(1, 5)), replace=False)] = rng.integers(0, 2**62, 1, dtype=np.uint64)
+            sets.append(np.unique(base))
+            more = base.copy()
+            at = rng.choice(60, int(rng.integers(3, 12)), replace=False)
+            more[at] = rng.integers(0, 2**62, len(at), dtype=np.uint64)
+            sets.append(np.unique(more))
+    sets += [np.unique(rng.integers(0, 2**62, 40, dtype=np.uint64)) for _ in range(8)]
+    names = list(range(100, 100 + len(sets)))
+    df = spark.createDataFrame([(7, n, bytearray(x.tobytes())) for n, x in zip(names, sets)], "root long, set long, grams binary")
+    want = near_copies.split(sets)
+    assert 10 < len(set(want.tolist())) < len(sets) - 20
+    parts = lambda pairs: {frozenset(n for n, r in pairs if r == root) for _, root in pairs}
+    monkeypatch.setattr(near_copies, "BIG", 9)
+    monkeypatch.setattr(near_copies, "PIVOTS", 6)
+    got = [(r["set"], r["root"]) for r in near_copies._by_pivots(df).collect()]
+    assert sorted(n for n, _ in got) == names
+    assert parts(got) == parts(list(zip(names, want.tolist())))
+
+
+def test_near_copies_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BIG", 2)
+    monkeypatch.setattr(near_copies, "PIVOTS", 3)
+    rows = near_copy_rows()[:60]
+    linked = [(a, b) for a, s in rows for b, t in rows if a < b < a + 10 and jaccard(s, t) >= 0.8]
+    root = smallest([i for i, _ in rows], linked)
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+
+
 def test_split_is_exact():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(300)]

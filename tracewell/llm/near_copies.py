@@ -6,12 +6,18 @@ bits, and a ball that wide has more variants than can be emitted, so bands of mi
 give the rest: a text has BANDS keys, each of ROWS minima of its shingles' hashes, so a
 pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8,
 0.016 at 0.3. Texts that share keys or balls are
-grouped by connected components, which keeps the links linear in the texts. A
-group's shingle sets then meet in one task, where a search over the graph of
+grouped by connected components, which keeps the links linear in the texts. The
+shingle sets of a group of up to BIG texts then meet in one task, where a search over the graph of
 pairs with exact similarity of at least LEAST splits the group: a text that is
 reached is not compared again, so a group of near copies costs about one
 comparison a text, and pairs that share no key are still found inside a group.
 
+A larger group stays dealt: a round compares all its texts with a few pivots, texts that no
+pivot has reached yet, those near an earlier pivot first. As 1 - similarity is a distance, a pair
+of texts that two pivots have reached can only be linked if each lies within twice the
+distance of the other's pivot. So when no text that is left lies so near a pivot, what
+remains is to compare the texts that are near several pivots, and those that are left, by themselves.
+
 Texts of equal shingle sets are one text here; all comparisons are of different
 sets. Texts of fewer words than a shingle have one shingle of all their words,
 and texts without a word are equal.
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components, text_key
@@ -34,6 +40,8 @@ from tracewell.runtime import materialize
 SEED = 42
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Texts of a group that one task compares, and pivots that a round takes from a larger one.
+BIG, PIVOTS = 20_000, 8
 #: Shingles whose minima are taken at once.
 CHUNK = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,6 +140,47 @@ def _grouped(table: pa.Table) -> pa.Table:
     return pa.table({"set": pa.array(names), "root": pa.array(names[root])})
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, pivot, linked): each set's pivots within twice the distance of LEAST."""
+    for b in batches:
+        rows = []
+        for one, grams, pivots in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            own = np.frombuffer(grams.as_py(), np.uint64)
+            for p in pivots:
+                other = np.frombuffer(p["grams"], np.uint64)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                union = len(own) + len(other) - both
+                if both >= (2 * LEAST - 1) * union - 1e-9:
+                    rows.append((one, p["set"], bool(both >= LEAST * union - 1e-9)))
+        one, pivot, linked = zip(*rows) if rows else ((),) * 3
+        yield pa.record_batch([pa.array(one, pa.int64()), pa.array(pivot, pa.int64()), pa.array(linked, pa.bool_())], names=["set", "pivot", "linked"])
+
+
+def _by_pivots(sets: DataFrame) -> DataFrame:
+    """(set, root) of the sets (root, set, grams) of large groups, split as `split` does."""
+    left = materialize(sets.select("root", "set"), "left")
+    near = left.select("set", F.col("set").alias("pivot"), F.lit(True).alias("linked")).where("false")
+    while True:
+        marked = left.join(near.select("set").distinct().withColumn("near", F.lit(True)), "set", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        open_ = marked.groupBy("root").agg(F.count_if("near").alias("near"), F.count("*").alias("n")).where((F.col("near") > 0) | (F.col("n") > BIG)).select("root")
+        ranked = marked.join(open_, "root", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("near"), "set")))
+        pivots = materialize(ranked.where(F.col("place") <= PIVOTS).select("set"), "pivots")
+        if pivots.isEmpty():
+            break
+        chosen = sets.join(pivots, "set").groupBy("root").agg(F.collect_list(F.struct("set", "grams")).alias("pivots"))  # PIVOTS a group
+        found = sets.join(materialize(chosen, "chosen"), "root").select("set", "grams", "pivots").mapInArrow(_near, "set long, pivot long, linked boolean")
+        found = materialize(found, "near")
+        near = near.unionByName(found)
+        left = materialize(left.join(found.where("linked").select("set").distinct(), "set", "left_anti"), "left")
+    several = near.groupBy("set").agg(F.countDistinct("pivot").alias("n")).where("n > 1").select("set")
+    links = near.where("linked").select(F.col("set").alias("a"), F.col("pivot").alias("b"))
+    for some in (several, left.select("set")):
+        apart = sets.join(some, "set", "left_semi").groupBy("root").applyInArrow(_grouped, "set long, root long")
+        links = links.unionByName(apart.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    found = components(links).withColumnRenamed("node", "set")
+    return sets.select("set").join(found, "set", "left").select("set", F.coalesce("root", "set").alias("root"))
+
+
 def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k, root): each different text by text_key, and its group of near copies. Null texts count as empty."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -151,5 +200,12 @@ def grouped(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # one text of each set
     sought = texts.join(one, "k").select("root", "set", "t")
     sets = sought.mapInArrow(_sets, "root long, set long, grams binary").dropDuplicates(["set"])
-    apart = materialize(sets.groupBy("root").applyInArrow(_grouped, "set long, root long"), "apart")
+    large = materialize(one.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BIG).select("root"), "large")
+    if large.isEmpty():
+        apart = sets.groupBy("root").applyInArrow(_grouped, "set long, root long")
+    else:
+        sets = materialize(sets, "grams")
+        apart = sets.join(large, "root", "left_anti").groupBy("root").applyInArrow(_grouped, "set long, root long")
+        apart = apart.unionByName(_by_pivots(materialize(sets.join(large, "root", "left_semi"), "large_sets")))
+    apart = materialize(apart, "apart")
     return found.select("k", "set").distinct().join(apart, "set", "left").select("k", F.coalesce("root", "set").alias("root"))
