@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import copies, names
+from tracewell.operators import copies, loads, names
 
 
 def project():
@@ -63,3 +63,16 @@ def test_work_follows_different_texts(spark):
     assert n.clauses.count() == 50 and n.tokens.count() == 100
     links = {(r["source"], r["target"]) for r in n.use_links(spark.createDataFrame([], "id long")).collect()}
     assert links == {(2000 + c, t) for c in range(100) for t in [1000 + c, *range(50)]}
+
+
+def test_load_links_read_each_text_once(spark, monkeypatch):
+    """40 files with one import and one call, of which every second is an entry."""
+    sizes = {}
+    write = loads.materialize
+    monkeypatch.setattr(loads, "materialize", lambda df, name="cut": sizes.setdefault(name, write(df, name)))
+    rows = [(1, "lib/n.ts", "register();"), *((i, f"a/c{i - 100}.ts", 'import { x } from "../lib/n";') for i in range(100, 140)), *((i, f"a/c{i - 200}.ts", "run(x);") for i in range(200, 240))]
+    entries = spark.createDataFrame([(i,) for i in range(200, 240, 2)], "id long")
+    none = spark.createDataFrame([], "statement_id long, ordinal int, selector string, line int")
+    got = loads.load_graph(spark.createDataFrame(rows, "id long, file string, text string"), entries, none)
+    assert {(r["source"], r["target"]) for r in got["links"].collect()} == {(i, 1) for i in range(100, 140)} | {(i, i - 100) for i in range(200, 240, 2)}
+    assert sizes["written"].count() == 1 and sizes["asked"].count() == 1 and sizes["facts"].count() == 3
